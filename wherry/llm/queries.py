@@ -5,10 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm import distinctive, markup, packing, repeated_lines, spellings
+from wherry.llm import abuse, distinctive, leakage, main_content, markup, packing, repeated_lines, residue, spellings
 from wherry.sources.tables import table
 
 
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "page_metadata", "record_no", "url", "title", "abstract"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).select("record_no", "field")
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The records none of whose fields is residue."""
+    return table(spark, folder, "page_metadata", "record_no", "title", "abstract").join(_residue(spark, folder).select("record_no").distinct(), "record_no", "left_anti")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    lines = main_content.foreign_line_rows(table(spark, folder, "search_results", "result_id", "content"), "result_id", "content")
+    abstracts = main_content.foreign_abstracts(table(spark, folder, "page_metadata", "record_no", "abstract"), "record_no", "abstract")
+    return lines.select(F.lit("search_results").alias("tbl"), "row_id", "line_no").unionByName(abstracts.select(F.lit("page_metadata").alias("tbl"), "row_id", F.lit(0).alias("line_no")))
+
+
+def p2_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """The article alone of every search result with content."""
+    return main_content.main_contents(table(spark, folder, "search_results", "result_id", "content"), "result_id", "content")
+
+
 def _p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Both tables as one keyed set, so that hot keys are found and shuffles are made once."""
     docs = table(spark, folder, "doc_map", "docid", "url").select(F.lit("doc_map").alias("tbl"), F.col("docid").alias("ident"), "url")
@@ -81,4 +105,45 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return _p8_pieces(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p4_cleaned, p5_found, p5_clean, p6_found, p6_enriched, p8_found, p8_pack)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
+
+
+def p9_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold most of an item in order, with the share."""
+    found = leakage.paraphrases(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
+    return found.withColumn("overlap", F.round("overlap", 6))
+
+
+def p9_items(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many documents each item leaked."""
+    return p9_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_docs"))
+
+
+def _p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "doc_labels")
+    machine = abuse.fit(abuse.labelled_sample(documents, labels), abuse.background_sample(documents, labels))
+    return abuse.score_documents(documents, machine)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.flagged(_p10_scores(spark, folder)).select("doc_id", "category")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every document in every category."""
+    return _p10_scores(spark, folder).select("doc_id", *(F.round(c, 4).alias(c) for c in abuse.CATEGORIES))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """The rate of each category per source."""
+    return abuse.rates(_p10_scores(spark, folder))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_clean, p2_found, p2_articles, p3_found, p3_records, p4_found, p4_cleaned, p5_found, p5_clean, p6_found, p6_enriched,
+        p8_found, p8_pack, p9_found, p9_paraphrases, p9_items, p10_found, p10_scores, p10_rates,
+    )
+}
