@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that one task packs together; bounds a group whatever the input.
-SHARD_ROWS = 100_000
+SHARD_ROWS = 25_000
 _SCHEMA = "kind string, capacity long, shard int, container_no long, doc_id long, piece int, offset long, n_tokens long"
 
 

@@ -43,9 +43,9 @@ _SCRIPT = re.compile(
     re.I,
 )
 _FILLER = re.compile(
-    r"^(?:(?:(?:示例|测试|占位|默认|演示|样例)(?:文字|文本|内容|数据|标题|页面|文章)?){2,}\d*|(?:示例|测试|占位|默认|演示|样例)(?:文字|文本|内容|数据|标题|页面|文章)\d*|测试\d*|(?:这|此|以下|本段)(?:是|里是|为).{0,4}(?:示例|测试|占位|默认|演示|样例)(?:文字|文本|内容|数据|标题|段落)"
+    r"^(?:(?:(?:示例|测试|占位|默认|演示|样例)(?:文字|文本|内容|数据|标题|页面|文章)?){2,}\d*|(?:示例|测试|占位|默认|演示|样例)(?:文字|文本|内容|数据|标题|页面|文章)\d*|测试\d*|(?:这|此|以下|本段)(?:是|里是|为).{0,4}(?:示例|测试|占位|默认|演示|样例)(?:文字|文本|内容|数据|标题|段落)(?:[,，].{0,24})?"
     r"|(?:请|您可以)?(?:在)?(?:此|这里|此处|这儿|下方)(?:处)?\s*(?:输入|填写|编辑|添加|键入|录入|插入).{0,12}(?:\([^()]*\))?|(?:请)(?:输入|填写|编辑|添加).{0,10}(?:标题|摘要|简介|正文|内容)"
-    r"|(?:内容|摘要|简介|标题|正文|信息)?(?:待定|待补充|待更新|待完善|待添加|建设中|更新中|敬请期待|暂无(?:内容|摘要|简介|标题)?|暂缺|略)|[(（]略[)）](?:待更新|待补充)?|暂无(?:内容|摘要|简介|数据)"
+    r"|(?:内容|摘要|简介|标题|正文|信息)?(?:待定|待补充|待更新|待完善|待添加|建设中|更新中|敬请期待|暂无(?:内容|摘要|简介|标题)?|暂缺|略)(?:[,，].{0,10})?|[(（]略[)）](?:待更新|待补充)?|暂无(?:内容|摘要|简介|数据|介绍|正文)(?:[,，].{0,10})?"
     r"|(?:tbd|tba|todo|fixme|待办)\b[:：]?.{0,30}|to be (?:determined|announced|continued|added|written)|coming soon|n/?a|untitled(?: document| page)?|no title|无标题(?:文档)?|未命名|新建(?:文档|页面|文章)|(?:sample|dummy|placeholder|example|filler|default) (?:text|content|page|title|post|abstract).{0,60}|(?:your|insert|enter|type|write|add|put|edit|place) (?:your |the |an? )?(?:title|text|content|abstract|summary|description|heading|headline)(?: (?:goes )?here)?|(?:title|text|content|abstract|summary|description) (?:goes )?here|this is (?:a |an |some )?(?:sample|dummy|placeholder|example|test|default|filler).{0,80}|hello world|xxx+|(?:test|testing)(?: test| testing)*\s*\d*)$",
     re.I,
 )
