@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 CATEGORIES = ["abuse", "hate", "sexual"]
 #: Bounds of the fit: labelled documents, unlabelled ones, negative sentences and landmarks taken, whatever there is.
-MAX_DOCUMENTS, MAX_BACKGROUND, MAX_NEGATIVES, LANDMARKS = 8000, 3000, 20_000, 400
+MAX_DOCUMENTS, MAX_BACKGROUND, MAX_NEGATIVES, LANDMARKS = 8000, 3000, 15_000, 400
 #: Subsequences of two and three characters; a skipped character costs DECAY. Places of the hashed feature table.
 DECAY, TABLE = 0.7, 1 << 18
 _SHAPES = [(0, 1), (0, 2), (0, 3), (0, 1, 2), (0, 1, 3), (0, 2, 3)]
@@ -32,6 +32,8 @@ _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t
 _SENTENCES = re.compile(r"(?<=[。！？!?])|\n|(?<=[a-z]{3}[.;]) +|[:：]|(?<=[一-鿿）)0-9”]{5})[ ;；]+|(?<=[一-鿿）)”]{4}[;；])")
 #: A longer sentence is scored in overlapping parts of this many letters.
 PART = 80
+#: Letters scored at a time, which bounds the memory of a worker whatever the size of its batch.
+SCORED_LETTERS = 200_000
 _LEET_WORD = re.compile(r"[a-z0-9@$+!|]*[a-z][a-z0-9@$+!|]*")
 _LETTERS = re.compile(r"[\W_]+")
 
@@ -84,8 +86,15 @@ class StringKernelMachine:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Margin of each sentence in each category."""
-        if not texts:
-            return np.zeros((0, len(self.bias)))
+        out, ends = [np.zeros((0, len(self.bias)))], np.cumsum([len(t) + 2 for t in texts])
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SCORED_LETTERS, side="right")))
+            out.append(self._scores(texts[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def _scores(self, texts: list[str]) -> np.ndarray:
         place, weight, owner = kernel_features(texts)
         total = np.stack([np.bincount(owner, weight * self.table[place, c], minlength=len(texts)) for c in range(len(self.bias))], axis=1)
         return total / _norms(weight, owner, len(texts))[:, None] + self.bias
@@ -111,8 +120,9 @@ def _fit_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     w = np.zeros(z.shape[1])
     for _ in range(30):
         active = y * (z @ w + BIAS) < 1
-        a = z[active] * cost[active, None]
-        new = np.linalg.solve(a.T @ z[active] + RIDGE * np.eye(z.shape[1]), a.T @ (y[active] - BIAS))
+        x = z[active]
+        a = x * cost[active, None].astype(np.float32)
+        new = np.linalg.solve((a.T @ x).astype(np.float64) + RIDGE * np.eye(z.shape[1]), a.T @ (y[active] - BIAS))
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -137,7 +147,7 @@ class _Nystroem:
         self.whiten = vectors[:, ok] / np.sqrt(values[ok])
 
     def kernel(self, texts: list[str], block: int = 100) -> np.ndarray:
-        out = np.zeros((len(texts), self.n))
+        out = np.zeros((len(texts), self.n), np.float32)
         for a in range(0, len(texts), block):
             part = texts[a : a + block]
             place, weight, owner = kernel_features(part)
@@ -193,7 +203,7 @@ def fit(labelled: list[tuple[str, dict[str, float]]], background: list[str] = ()
     telling = {int(k) for c in range(len(CATEGORIES)) for k in rng.permutation(np.flatnonzero((best == c) & (lifts[c] > bars[c])))[: LANDMARKS // 5]}
     landmarks = [texts[k] for k in sorted({*telling, *rng.permutation(len(texts))[: LANDMARKS - len(telling)].tolist()})]
     space = _Nystroem(landmarks)
-    z = space.kernel(texts) @ space.whiten
+    z = (space.kernel(texts) @ space.whiten).astype(np.float32)
     table, bias = np.zeros((TABLE, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), BIAS)
     for c, category in enumerate(CATEGORIES):
         positive = [[place_of[number[s]] for s in x if number[s] in place_of] for x, v in bags if v.get(category, 0) >= 0.5]
@@ -285,9 +295,11 @@ def score_documents(documents: DataFrame, machine: StringKernelMachine) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["doc_id", "source"]].copy()
-            out[CATEGORIES] = shared.value.document_scores([t or "" for t in batch["text"]])
-            yield out
+            for at in range(0, len(batch), 1000):
+                part = batch.iloc[at : at + 1000]
+                out = part[["doc_id", "source"]].copy()
+                out[CATEGORIES] = shared.value.document_scores([t or "" for t in part["text"]])
+                yield out
 
     return documents.select(F.col("doc_id").cast("long"), "source", "text").mapInPandas(run, "doc_id long, source string, abuse double, hate double, sexual double")
 
