@@ -70,7 +70,7 @@ def full_merge(results: DataFrame, max_chars: int = 12_000) -> DataFrame:
         return F.struct((acc["n"] + 1).alias("n"), F.when(ok, acc["used"] + F.length(piece) + 2).otherwise(acc["used"]).cast("int").alias("used"), F.when(ok, F.concat(acc["text"], piece, F.lit("\n\n"))).otherwise(acc["text"]).alias("text"))
 
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit("").alias("text"))
-    return lists.select("query_id", F.rtrim(F.aggregate("p", start, step)["text"]).alias("context"))
+    return lists.select("query_id", F.regexp_replace(F.aggregate("p", start, step)["text"], r"\n+$", "").alias("context"))
 
 
 INTEGRATORS: dict[str, Callable[..., DataFrame]] = {"snippet": snippet_merge, "full": full_merge}
