@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from wherry.functions import html, urls
 from wherry.functions.text import distinct_sentences
 from wherry.operators import index, metrics, rag, retrieval
-from wherry.plans import sql
+from wherry.plans import sql, text_queries
+from wherry.session import checkpoint
 from wherry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,15 +27,15 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class Engine:
-    """The tables that searching needs, as lazy plans over one folder."""
+    """The tables that searching needs. The index is built once and written to the checkpoint folder; everything after it is lazy."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.queries = table(spark, folder, "queries")
         self.docs = documents(spark, folder)
         n_docs = table(spark, folder, "doc_map").count()
-        self.postings = index.postings(self.docs)
+        self.postings = checkpoint(index.postings(self.docs))
         self.terms = index.term_statistics(self.postings, n_docs)
-        self.weighted = index.weigh(self.postings, self.terms, 50 * n_docs)
+        self.weighted = checkpoint(index.weigh(self.postings, self.terms, self.postings.count()))
         self.lengths = index.norms(self.docs, self.weighted)
         self.vectors = retrieval.query_vectors(self.queries, self.terms)
 
@@ -43,12 +44,12 @@ class Engine:
 
     def reranked(self) -> DataFrame:
         fields = self.docs.select("docid", "title", "published_date", F.col("body").alias("abstract"))
-        return retrieval.rerank(retrieval.coverage(self.candidates(), retrieval.rerank_terms(self.vectors), fields, self.postings))
+        return retrieval.rerank(retrieval.coverage(checkpoint(self.candidates()), retrieval.rerank_terms(self.vectors), fields, self.postings))
 
     def keyed(self) -> DataFrame:
         """Re-ranked candidates with canonical url and content hash."""
         keys = self.docs.select("docid", F.coalesce(urls.canonical(F.col("url")), F.col("url")).alias("key"), F.col("content_hash").alias("hash"))
-        return self.reranked().select("query_id", "docid", F.col("new_rank").alias("rank_no")).join(keys, "docid")
+        return checkpoint(self.reranked().select("query_id", "docid", F.col("new_rank").alias("rank_no")).join(keys, "docid"))
 
 
 def _field_term_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -174,7 +175,23 @@ QUERIES: dict[str, Query] = {
     "run_timeouts": _timeouts,
 }
 
-_K = f"coalesce(k, 'doc:' || docid)"
+_K = "coalesce(k, 'doc:' || docid)"
+_KEYED = f"""{sql.RERANKED},
+keys as ({text_queries.ORACLES["canonical_urls"]}),
+kk as (select r.query_id, r.docid, r.new_rank as i, coalesce(k.canonical, d.url) as key, d.content_hash as hash from ranked r join docs d using (docid) left join keys k using (docid)),
+fold as (
+  select distinct query_id, 0::bigint as i, []::varchar[] as ks, []::varchar[] as hs, []::bigint[] as ds, []::bigint[] as rs from kk
+  union all
+  select f.query_id, f.ki, case when ok then list_append(ks, key) else ks end, case when ok and hash is not null then list_append(hs, hash) else hs end, case when ok then list_append(ds, docid) else ds end, case when ok then list_append(rs, f.ki) else rs end
+  from (select f.*, kk.i as ki, kk.docid, kk.key, kk.hash, len(ds) < {K} and not list_contains(ks, kk.key) and not coalesce(list_contains(hs, kk.hash), false) as ok from fold f join kk on kk.query_id = f.query_id and kk.i = f.i + 1) f),
+last as (select * from fold qualify row_number() over (partition by query_id order by i desc) = 1),
+strict as (select query_id, unnest(ds) as docid, unnest(rs)::int as rank_no, unnest(range(1, len(ds) + 1))::int as place from last)
+"""
+_GUARD = f"""{sql.RERANKED},
+g0 as (select query_id, list(docid order by new_rank) as l, max(docid) filter (rank_no = 1) as f1, max(docid) filter (rank_no = 2) as f2, max(docid) filter (rank_no = 3) as f3 from ranked group by query_id)"""
+for _r in (3, 2, 1):
+    _o = f"list_filter(l, lambda x: x <> f{_r})"
+    _GUARD += f", g{4 - _r} as (select query_id, f1, f2, f3, case when f{_r} is not null and list_position(l, f{_r}) > {_r + 2} then list_concat(list_concat({_o}[1:{_r + 1}], [f{_r}]), {_o}[{_r + 2}:]) else l end as l from g{3 - _r})"
 ORACLES = {
     "field_term_counts": f"with {sql.INDEX} select docid, field, term, count(*) as n from ft group by all",
     "postings_build": f"with {sql.INDEX} select docid, term, tf, weighted_tf from p",
@@ -194,6 +211,11 @@ ORACLES = {
     "coverage_features": f"with {sql.RERANKED} select query_id, docid, rank_no::int as rank_no, round(title_share, 6) as title_share, round(abstract_share, 6) as abstract_share, round(document_share, 6) as document_share from ranked",
     "rerank": f"with {sql.RERANKED} select query_id, docid, rank_no::int as rank_no, new_rank::int as new_rank from ranked",
     "dedup_content": f"with {sql.RERANKED} select query_id, docid, new_rank::int as rank_no from ranked join (select docid, content_hash as k from docs) using (docid) qualify row_number() over (partition by query_id, {_K} order by new_rank) = 1",
+    "dedup_canonical": f"with recursive {_KEYED} select query_id, docid, i::int as rank_no from kk qualify row_number() over (partition by query_id, key order by i) = 1",
+    "rerank_guarded": f"with {_GUARD} select query_id, unnest(l) as docid, unnest(range(1, len(l) + 1))::int as final_rank from g3",
+    "select_strict": f"with recursive {_KEYED} select query_id, docid, rank_no, place from strict",
+    "search_service": f"with recursive {_KEYED}, st as (select query_id, docid, 1 as stage, place::bigint as o from strict union all select query_id, docid, 2, i from kk where (query_id, docid) not in (select (query_id, docid) from strict) union all select q.query_id, d.docid, 3, d.docid from queries q, docs d where d.docid < {2 * K} and (q.query_id, d.docid) not in (select (query_id, docid) from kk)) select query_id, docid, row_number() over (partition by query_id order by stage, o)::int as place, stage from st qualify place <= {K}",
+    "best_chunks": f"with r as (select query_id, url, min(content) as c from search_results where rank_no <= 10 and content is not null group by query_id, url), ch as (select query_id, url, unnest(range(0, len(a)))::int as chunk_no, unnest(a) as chunk from (select query_id, url, list_transform(range(0, length({sql.clean('c')}), 500), lambda k: substr({sql.clean('c')}, k + 1, 650)) as a from r)), t as (select query_id, list_distinct({sql.terms('text')}) as ts from queries), s as (select ch.query_id, url, chunk_no, coalesce(list_sum(list_transform(ts, lambda w: (length(w) + 1) * ((length(chunk) - length(replace(lower(chunk), w, ''))) // length(w)))), 0)::bigint as score from ch join t using (query_id) where len(ts) > 0) select query_id, url, chunk_no, score from s qualify row_number() over (partition by query_id, url order by score desc, chunk_no) <= 3",
     "rare_terms": f"with {sql.VECTORS} select query_id, row_number() over (partition by query_id order by round(idf, 9) desc, term desc)::int as rank_no, term from v where length(term) >= 2 qualify rank_no <= 12",
     "multi_search": "select query_id, url, place from (select query_id, url, row_number() over (partition by query_id order by subq, rank_no)::int as place from (select query_id // 5 as query_id, url, query_id % 5 as subq, rank_no, row_number() over (partition by query_id // 5, url order by query_id % 5, rank_no) as r from search_results) where r = 1) where place <= 20",
     "snippet_merge": f"with o as (select query_id, {sql.clean('snippet')} as s, min(rank_no) as r from search_results where rank_no <= 10 and coalesce({sql.clean('snippet')}, '') <> '' group by 1, 2), n as (select *, row_number() over (partition by query_id order by r, s) as n from o) select query_id, substr(string_agg('[' || n || '] ' || s, chr(10) order by n), 1, 4000) as context from n group by query_id",

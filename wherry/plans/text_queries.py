@@ -186,6 +186,7 @@ def _unnest(table_name: str, key: str, array: str, item: str) -> str:
     return f"select {key}, unnest(range(0, len(a)))::int as pos, unnest(a) as {item} from (select {key}, {array} as a from {table_name})"
 
 
+_BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
 _HEADS = f"list_transform(regexp_extract_all({sql.without_code('body')}, '(?is)<h[1-3]\\b[^>]*>(.*?)</h[1-3]\\s*>', 1), lambda x: {sql.inner_text('x', '')})"
 
 ORACLES = {
@@ -200,6 +201,7 @@ ORACLES = {
     "html_content_type": "select content_type, coalesce(lower(trim(split_part(content_type, ';', 1))) in ('text/html', 'application/xhtml+xml'), true) as is_page from (values ('text/html'), ('text/html; charset=gbk'), ('application/xhtml+xml'), ('TEXT/HTML'), ('application/pdf'), ('image/png'), (null)) x(content_type)",
     "page_title": f"select file_id, {sql.inner_text(f'regexp_extract({sql.without_code("body")}, {_Q("(?is)<title" + chr(92) + "b[^>]*>(.*?)</title" + chr(92) + "s*>")}, 1)')} as title from page_files",
     "page_headings": _unnest("page_files", "file_id", _HEADS, "heading"),
+    "visible_text": f"select file_id, {sql.inner_text(f'regexp_extract({sql.without_code("body")}, {_Q(_BODY_RE)}, 1)')} as text from page_files",
     "clean_text": f"select result_id, {sql.clean('content')} as text from search_results",
     "tokenize": _unnest("page_metadata", "record_no", sql.tokens("title"), "token"),
     "normalize_terms": _unnest("page_metadata", "record_no", sql.terms("abstract"), "term"),
