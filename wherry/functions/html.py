@@ -17,10 +17,8 @@ ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 def without_code(page: Column) -> Column:
     """A page without comments, scripts, styles and other unseen parts."""
-    bare = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
-    for tag in ("script", "style", "noscript", "template", "svg"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return bare
+    unseen = r"(?is)<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>"
+    return F.when(page.contains("<"), F.regexp_replace(page, unseen, " ")).otherwise(page)
 
 
 def unescape(text: Column) -> Column:

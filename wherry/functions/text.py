@@ -29,13 +29,10 @@ def compact(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Terms of a text: folded words of ASCII letters and digits, and pairs of neighbouring Han characters (a lone one by itself). Empty for null."""
-    runs = F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit("[0-9a-z]+|[一-鿿]+"), F.lit(0))
-
-    def split(run: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(run) - 1)), lambda k: F.substring(run, k, F.lit(2)))
-        return F.when(run.rlike("^[一-鿿]"), pairs).otherwise(F.array(run))
-
-    return F.flatten(F.transform(runs, split))
+    words = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^0-9a-z一-鿿]+|(?<=[0-9a-z])(?=[一-鿿])|(?<=[一-鿿])(?=[0-9a-z])", " ")
+    # A Han character takes its neighbour along; the last of a run has given itself to the one before.
+    paired = F.regexp_replace(words, "([一-鿿])(?=([一-鿿]))|(?<=[一-鿿])[一-鿿]", "$1$2 ")
+    return F.array_remove(F.split(paired, " +"), "")
 
 
 def without_stopwords(terms: Column, stopwords: list[str] = STOPWORDS) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wherry.functions.text import tokens, without_stopwords
+from wherry.functions.text import STOPWORDS, tokens
 from wherry.operators.skew import hot_threshold, join_by_frequency
 from wherry.session import checkpoint
 
@@ -33,10 +33,10 @@ def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def field_terms(docs: DataFrame) -> DataFrame:
     """``docid, field, term``, one row per occurrence, of ``docs(docid, title, headings, body)``; null fields have none, a document with only nulls stays out."""
-    title = F.transform(without_stopwords(tokens(F.col("title"))), lambda t: F.struct(F.lit("title").alias("field"), t.alias("term")))
-    heads = F.transform(without_stopwords(tokens(F.array_join("headings", " "))), lambda t: F.struct(F.lit("heading").alias("field"), t.alias("term")))
-    body = F.transform(without_stopwords(tokens(F.col("body"))), lambda t: F.struct(F.lit("body").alias("field"), t.alias("term")))
-    return docs.select("docid", F.explode(F.concat(title, heads, body)).alias("x")).select("docid", "x.field", "x.term")
+    fields = F.array(*(tokens(x) for x in (F.col("title"), F.array_join("headings", " "), F.col("body"))))
+    by_field = docs.select("docid", F.posexplode(fields).alias("k", "terms"))
+    rows = by_field.select("docid", F.element_at(F.array(*map(F.lit, FIELD_WEIGHTS)), F.col("k") + 1).alias("field"), F.explode("terms").alias("term"))
+    return rows.where(~F.col("term").isin(*STOPWORDS))
 
 
 def postings(docs: DataFrame) -> DataFrame:
