@@ -77,7 +77,7 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @cache
 def weights() -> np.ndarray:
-    """Logistic weights of character pairs, quadruples and tags, positive for the article, fitted to the labelled pages (about 150 lines)."""
+    """Logistic weights of character pairs, quadruples and tags, positive for the article, fitted to the labelled pages (all lines of ``PAGES``)."""
     lines = [(x[0], x[2:]) for x in PAGES.splitlines() if x]
     texts = tidy_all([x for _, x in lines])
     places, starts = _hashed(texts)
