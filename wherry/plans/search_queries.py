@@ -15,7 +15,9 @@ from wherry.session import checkpoint
 from wherry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
-K, CANDIDATES = 20, 100
+K = 20
+#: Candidates of each query that re-ranking and selection see.
+CANDIDATES = max(500, 25 * K)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
