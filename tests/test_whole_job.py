@@ -2,7 +2,7 @@
 
 import pytest
 
-from wherry.plans import search_queries
+from wherry.plans import crawl_queries, search_queries
 
 
 @pytest.fixture(scope="module")
@@ -21,3 +21,10 @@ def test_candidates_reach_behind_the_copies(spark, copies):
     assert search_queries.QUERIES["candidates"](spark, copies).count() == 500
     place = {r["docid"]: r["stage"] for r in search_queries.QUERIES["search_service"](spark, copies).collect()}
     assert len(place) == 20 and all(place[k] == 1 for k in range(120, 130)) and set(place.values()) == {1}
+
+
+def test_link_levels_start_from_every_query_and_go_on(spark, tmp_path):
+    rows = [(10, k + 1, f"a{k}") for k in range(14)] + [(7, 1, "b0"), (7, 2, "a5"), (7, 3, "b2")]
+    spark.createDataFrame(rows, "query_id long, rank_no int, url string").write.parquet(f"{tmp_path}/search_results.parquet")
+    got = {r["url"]: r["level"] for r in crawl_queries.link_levels(spark, str(tmp_path)).collect()}
+    assert got == {f"a{k}": k if k < 5 else k - 4 for k in range(14)} | {"b0": 0, "b2": 2}

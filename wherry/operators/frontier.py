@@ -41,16 +41,19 @@ def in_scope(links: DataFrame, hosts: DataFrame) -> DataFrame:
     return links.join(hosts.select("host"), "host", "left_semi")
 
 
-def bfs_levels(links: DataFrame, seeds: DataFrame, max_level: int = 10) -> DataFrame:
-    """``url, level`` of every url reachable from the seeds within ``max_level`` links; level by level, each written so that lineage stays short."""
+def bfs_levels(links: DataFrame, seeds: DataFrame, max_level: int | None = None) -> DataFrame:
+    """``url, level`` of every url reachable from the seeds, within ``max_level`` links if given; level by level, each written so that lineage stays short."""
     seen = checkpoint(seeds.select("url").distinct().withColumn("level", F.lit(0)))
-    edge = seen
-    for level in range(1, max_level + 1):
+    edge, level = seen, 0
+    while max_level is None or level < max_level:
+        level += 1
         step = edge.select(F.col("url").alias("src")).join(links.select("src", "dst"), "src").select(F.col("dst").alias("url")).distinct()
         edge = checkpoint(step.join(seen.select("url"), "url", "left_anti").withColumn("level", F.lit(level)))
         if edge.isEmpty():
             break
         seen = seen.unionByName(edge)
+        if level % 10 == 0:
+            seen = checkpoint(seen)
     return seen
 
 

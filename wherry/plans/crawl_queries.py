@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wherry.functions import html, urls
 from wherry.operators import frontier
 from wherry.plans import text_queries
+from wherry.session import checkpoint
 from wherry.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,7 @@ def link_levels(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "search_results", "query_id", "rank_no", "url")
     left, right = rows.alias("a"), rows.alias("b")
     links = left.join(right, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("b.rank_no") == F.col("a.rank_no") + 1)).select(F.col("a.url").alias("src"), F.col("b.url").alias("dst")).distinct()
-    seeds = rows.where((F.col("rank_no") == 1) & (F.col("query_id") % 10 == 0)).select("url")
-    return frontier.bfs_levels(links, seeds, 6)
+    return frontier.bfs_levels(checkpoint(links), rows.where(F.col("rank_no") == 1).select("url"))
 
 
 def recover_redirects(spark: SparkSession, folder: str) -> DataFrame:
