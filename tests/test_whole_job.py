@@ -28,3 +28,11 @@ def test_link_levels_start_from_every_query_and_go_on(spark, tmp_path):
     spark.createDataFrame(rows, "query_id long, rank_no int, url string").write.parquet(f"{tmp_path}/search_results.parquet")
     got = {r["url"]: r["level"] for r in crawl_queries.link_levels(spark, str(tmp_path)).collect()}
     assert got == {f"a{k}": k if k < 5 else k - 4 for k in range(14)} | {"b0": 0, "b2": 2}
+
+
+def test_merges_take_all_results(spark, tmp_path):
+    rows = [(1, k, f"u{k}", f"T{k}", f"snippet {k} " + "x" * 400, f"content {k}。") for k in range(1, 21)]
+    spark.createDataFrame(rows, "query_id long, rank_no int, url string, title string, snippet string, content string").write.parquet(f"{tmp_path}/search_results.parquet")
+    spark.createDataFrame([(1, "why")], "query_id long, text string").write.parquet(f"{tmp_path}/queries.parquet")
+    for name, column, last in (("snippet_merge", "context", "[20] snippet 20 "), ("full_merge", "context", "content 20。"), ("rag_prompts", "prompt", "content 20。")):
+        assert last in search_queries.QUERIES[name](spark, str(tmp_path)).first()[column]

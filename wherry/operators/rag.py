@@ -28,7 +28,7 @@ def multi_search(results: DataFrame, k: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(10, 4 * k)).select("query_id", "docid", "place")
 
 
-def snippet_merge(results: DataFrame, max_chars: int = 4000) -> DataFrame:
+def snippet_merge(results: DataFrame, max_chars: int = 12_000) -> DataFrame:
     """``query_id, context``: numbered distinct snippets in rank order, cut to ``max_chars``. Empty and null snippets are left out."""
     rows = results.withColumn("s", clean_text(F.col("snippet"))).where(F.coalesce(F.col("s"), F.lit("")) != "")
     once = rows.groupBy("query_id", "s").agg(F.min("rank_no").alias("rank_no"))

@@ -113,12 +113,12 @@ def _multi(spark: SparkSession, folder: str) -> DataFrame:
     return rag.multi_search(rows, 5).select("query_id", F.col("docid").alias("url"), "place")
 
 
-def _rag_results(spark: SparkSession, folder: str, limit: int = 10) -> DataFrame:
-    return table(spark, folder, "search_results", "query_id", "rank_no", "url", "title", "snippet", "content").where(F.col("rank_no") <= limit)
+def _rag_results(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "search_results", "query_id", "rank_no", "url", "title", "snippet", "content")
 
 
 def _best_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    results = _rag_results(spark, folder).select("query_id", F.col("url").alias("docid"), "content").where(F.col("content").isNotNull()).dropDuplicates(["query_id", "docid"])
+    results = _rag_results(spark, folder).where(F.col("rank_no") <= 10).select("query_id", F.col("url").alias("docid"), "content").where(F.col("content").isNotNull()).dropDuplicates(["query_id", "docid"])
     terms = retrieval.query_terms(table(spark, folder, "queries")).select("query_id", "term")
     return rag.best_chunks(results, terms).select("query_id", F.col("docid").alias("url"), "chunk_no", "score")
 
