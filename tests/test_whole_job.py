@@ -2,6 +2,7 @@
 
 import pytest
 
+from wherry.operators import rag
 from wherry.plans import crawl_queries, search_queries
 
 
@@ -36,3 +37,17 @@ def test_merges_take_all_results(spark, tmp_path):
     spark.createDataFrame([(1, "why")], "query_id long, text string").write.parquet(f"{tmp_path}/queries.parquet")
     for name, column, last in (("snippet_merge", "context", "[20] snippet 20 "), ("full_merge", "context", "content 20。"), ("rag_prompts", "prompt", "content 20。")):
         assert last in search_queries.QUERIES[name](spark, str(tmp_path)).first()[column]
+
+
+def test_chunks_fill_the_budget_of_a_page(spark):
+    long = "".join(f"{k:05d}" for k in range(3000))
+    rows = [(1, 1, "a", "A", long[:3210] + "q" + long[3211:], None), (2, 12, "late", "L", "z" * 900, None)] + [(2, k, f"u{k}", "U", None if k == 1 else long, "only a snippet") for k in range(1, 11)]
+    results = spark.createDataFrame(rows, "query_id long, rank_no int, docid string, title string, content string, snippet string")
+    terms = spark.createDataFrame([(1, "q")], "query_id long, term string")
+    got = rag.best_chunks(results, terms).collect()
+    text = {d: sum(len(r["chunk"]) for r in got if r["docid"] == d) for d in ("a", "u1", "u2", "late")}
+    assert text == {"a": 11820, "u1": 14, "u2": 1020, "late": 0}
+    lone = sorted((r["place"], r["chunk_no"], r["score"]) for r in got if r["docid"] == "a")
+    assert len(lone) == 19 and lone[0] == (1, 6, 2) and [c for _, c, _ in lone[1:]] == [k for k in range(19) if k != 6]
+    contexts = {r["query_id"]: r["context"] for r in rag.integrate("custom", results, terms).collect()}
+    assert "only a snippet" in contexts[2] and len(contexts[1]) > 9000

@@ -37,19 +37,28 @@ def snippet_merge(results: DataFrame, max_chars: int = 12_000) -> DataFrame:
     return lines.select("query_id", F.substring(F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["n"], F.lit("] "), x["s"])), "\n"), 1, max_chars).alias("context"))
 
 
-def best_chunks(results: DataFrame, terms: DataFrame, max_chars: int = 12_000, per_page: int = 3) -> DataFrame:
-    """``query_id, docid, chunk_no, score``: the chunks of each result that hold most of the query's terms.
-
-    ``results(query_id, docid, content)``, ``terms(query_id, term)``. A chunk scores
-    the sum of (length of term + 1) times its occurrences; the best ``per_page``
-    of a page are kept, ties to the earlier one.
+def best_chunks(results: DataFrame, terms: DataFrame, max_chars: int = 12_000, pages: int = 10) -> DataFrame:
+    """``query_id, docid, chunk_no, score, chunk, place``: the chunks of each result that hold most of the query's terms.
+
+    ``results(query_id, rank_no, docid, content, snippet)``, of which the first
+    ``pages`` of a query count, ``terms(query_id, term)``. A result without content
+    has its snippet instead; of repeated documents the first with text is taken. A
+    chunk scores the sum of (length of term + 1) times its occurrences. The best
+    fill a budget of ``max(700, max_chars // results - 180)`` characters a page,
+    ties to the earlier one, the last cut to what is left.
     """
-    parts = results.select("query_id", "docid", F.posexplode(chunks(clean_text(F.col("content")))).alias("chunk_no", "chunk"))
+    ranked = results.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank_no", "docid"))).where(F.col("r") <= pages)
+    sized = ranked.withColumn("budget", F.greatest(F.lit(700), F.floor(F.lit(max_chars) / F.count("*").over(Window.partitionBy("query_id"))).cast("int") - 180))
+    texts = sized.withColumn("text", F.coalesce(F.nullif(clean_text(F.col("content")), F.lit("")), clean_text(F.col("snippet")))).where(F.coalesce("text", F.lit("")) != "")
+    once = texts.groupBy("query_id", "docid", "budget").agg(F.min_by("text", "r").alias("text"))
+    parts = once.select("query_id", "docid", "budget", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "chunk"))
     words = terms.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    score = F.aggregate(F.transform("terms", lambda t: (F.length(t) + 1) * occurrences(F.lower("chunk"), t)), F.lit(0).cast("long"), lambda a, x: a + x)
-    scored = parts.join(words, "query_id").withColumn("score", score)
+    score = F.aggregate(F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda t: (F.length(t) + 1) * occurrences(F.lower("chunk"), t)), F.lit(0).cast("long"), lambda a, x: a + x)
+    scored = parts.join(words, "query_id", "left").withColumn("score", score)
     order = Window.partitionBy("query_id", "docid").orderBy(F.desc("score"), F.asc("chunk_no"))
-    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_page).select("query_id", "docid", "chunk_no", "score", "chunk")
+    before = F.coalesce(F.sum(F.length("chunk")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = scored.withColumn("place", F.row_number().over(order)).withColumn("left", (F.col("budget") - before).cast("int")).where(F.col("left") > 0)
+    return chosen.select("query_id", "docid", "chunk_no", "score", F.substring(F.col("chunk"), F.lit(1), F.col("left")).alias("chunk"), "place")
 
 
 def full_merge(results: DataFrame, max_chars: int = 12_000) -> DataFrame:
@@ -73,7 +82,15 @@ def full_merge(results: DataFrame, max_chars: int = 12_000) -> DataFrame:
     return lists.select("query_id", F.regexp_replace(F.aggregate("p", start, step)["text"], r"\n+$", "").alias("context"))
 
 
-INTEGRATORS: dict[str, Callable[..., DataFrame]] = {"snippet": snippet_merge, "full": full_merge}
+def custom_integrator(results: DataFrame, terms: DataFrame, max_chars: int = 12_000) -> DataFrame:
+    """``query_id, context``: :func:`full_merge` of the :func:`best_chunks` of the first ten results, which need a ``title`` too."""
+    lists = best_chunks(results, terms, max_chars).groupBy("query_id", "docid").agg(F.array_sort(F.collect_list(F.struct("place", "chunk"))).alias("c"))
+    first = results.groupBy("query_id", "docid").agg(F.min("rank_no").alias("rank_no"), F.min_by("title", "rank_no").alias("title"))
+    pages = lists.join(first, ["query_id", "docid"]).select("query_id", "rank_no", "title", F.array_join(F.transform("c", lambda x: x["chunk"]), "\n").alias("content"))
+    return full_merge(pages, max_chars)
+
+
+INTEGRATORS: dict[str, Callable[..., DataFrame]] = {"snippet": snippet_merge, "full": full_merge, "custom": custom_integrator}
 
 
 def integrate(strategy: str, *args, **kwargs) -> DataFrame:

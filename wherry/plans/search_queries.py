@@ -118,7 +118,7 @@ def _rag_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _best_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    results = _rag_results(spark, folder).where(F.col("rank_no") <= 10).select("query_id", F.col("url").alias("docid"), "content").where(F.col("content").isNotNull()).dropDuplicates(["query_id", "docid"])
+    results = _rag_results(spark, folder).withColumnRenamed("url", "docid")
     terms = retrieval.query_terms(table(spark, folder, "queries")).select("query_id", "term")
     return rag.best_chunks(results, terms).select("query_id", F.col("docid").alias("url"), "chunk_no", "score")
 
