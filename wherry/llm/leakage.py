@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,11 +212,51 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     return _search(documents, items, check, "doc_id long, item_id long, cosine double")
 
 
+class CharacterCounts:
+    """How often each item holds each character, which bounds common subsequences from above."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.items = items
+        self.lengths = np.array([max(1, len(t)) for _, t in items])
+        self.place = {c: k for k, c in enumerate(sorted({c for _, t in items for c in t}))}
+        self.counts = np.zeros((len(self.place), len(items)), np.int32)
+        for k, (_, t) in enumerate(items):
+            for c, n in Counter(t).items():
+                self.counts[self.place[c], k] = n
+
+    def candidates(self, text: str, least: float) -> np.ndarray:
+        """Numbers of the items of which ``text`` may hold a subsequence of the share ``least``: no such item is missing."""
+        held = [(self.place[c], n) for c, n in Counter(text).items() if c in self.place]
+        if not held:
+            return np.zeros(0, np.int64)
+        rows, n = np.array(held, np.int64).T
+        bound = np.minimum(self.counts[rows], n[:, None]).sum(axis=0)
+        return np.flatnonzero(bound / self.lengths >= least)
+
+
 def paraphrases(documents: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """``doc_id, item_id, overlap``: documents in which a longest common subsequence covers ``least`` of an item, whether or not any run is whole."""
+    """``doc_id, item_id, overlap``: documents in which a longest common subsequence covers ``least`` of an item, whether or not any run is whole.
 
-    def check(doc: int, text: str, item: int, item_text: str, cosine: float) -> list[tuple]:
-        overlap = lcs_length(item_text, text) / max(1, len(item_text))
-        return [(doc, item, overlap)] if overlap >= least else []
+    A subsequence can't hold a character more often than either text does; pairs
+    that this bound rules out are left out at no loss, all others are compared.
+    """
+    schema = "doc_id long, item_id long, overlap double"
+    spark = documents.sparkSession
+    rows = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    found = spark.createDataFrame([], schema)
+    for block in _blocks(items):
+        index = spark.sparkContext.broadcast(CharacterCounts(block))
 
-    return _search(documents, items, check, "doc_id long, item_id long, overlap double")
+        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = []
+                for doc, text in zip(batch["doc_id"].tolist(), map(normalise, batch["text"]), strict=True):
+                    for k in index.value.candidates(text, least):
+                        item, item_text = index.value.items[k]
+                        overlap = lcs_length(item_text, text) / max(1, len(item_text))
+                        if overlap >= least:
+                            out.append((doc, item, overlap))
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "overlap"])
+
+        found = found.unionByName(rows.mapInPandas(run, schema))
+    return found
