@@ -55,10 +55,6 @@ _NEUTRAL = re.compile(
     r"^(?:错误(?:代码|编号|码|信息)?\s*[:：]?\s*\w{0,12}|(?:request|error|trace|incident|reference)\s*(?:id|code|no\.?|number)?\s*[:：#]?\s*[\w-]{1,40}|请?(?:返回|点击|联系|检查|稍后|刷新|重试|尝试|通过).{0,24}|(?:please )?(?:try again|go back|return to|contact|check|reload|refresh|click).{0,60}|您可以.{0,30}|(?:nginx|apache|tomcat|iis|openresty).{0,20}|(?:in|on|at) line \d+|in /.{0,80}|[\W\d_]*|后?(?:刷新|再访问|继续|浏览|查看).{0,12}|(?:才能|以|以便).{0,14}|发布前请删除|请替换.{0,12}|用于.{0,10}(?:版式|排版|测试|演示))$",
     re.I,
 )
-#: A superset of all evidence, for the JVM: rows without it need no look.
-HINT = (
-    r"(?i)[{}%@#<\[]|__|-->|[45]\d\d|error|warning|exception|denied|forbidden|not found|javascript|java script|\bjs\b|script|lorem|ipsum|nostrud|eiusmod|aliqu|adipisc|dolor|amet|elit|tempor|labor|asdf|qwer|hjkl|zxcv|(?:[a-z])\1{2}|xxx|aaaa|抱歉|对不起|遗憾|不存在|找不到|无法|删除|失败|繁忙|异常|出错|错误|脚本|示例|测试|占位|默认|演示|样例|输入|填写|编辑|待定|待补|待更新|待完善|建设中|更新中|期待|暂无|暂缺|略|tbd|tba|todo|to be |coming soon|n/?a$|untitled|无标题|未命名|新建|sample|dummy|placeholder|example|default|here|this is|hello|test|no title|oops|went wrong|unavailable|try again|添加|键入|录入|插入"
-)
 
 
 def plain(text: str) -> str:
@@ -147,16 +143,15 @@ def residue(records: DataFrame) -> DataFrame:
 
     ``records``: ``record_no, url, title, abstract``. A url as title, empty and
     null fields are none. Lines that a host repeats are subtracted before a field
-    is judged (see :func:`evidence`). Rows without any hint of residue are
-    dropped in the JVM; host lists of hosts with many records are broadcast, the
-    others meet their records in one shuffle. Records without host are judged
+    is judged (see :func:`evidence`), every field; host lists of hosts with many
+    records are broadcast, the others meet their records in one shuffle. Records without host are judged
     without subtraction; repeated rows give repeated results.
     """
     rows = records.select("record_no", "url", "title", "abstract", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"))
     hosts = recurrent_lines(rows)
     field = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("abstract").alias("field"), F.col("abstract").alias("text")))).alias("f")
     fields = rows.select("record_no", "host", "url", field).select("record_no", "host", "f.field", "f.text", "url")
-    suspects = fields.where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("text").rlike(HINT) & ~(F.col("url").eqNullSafe(F.col("text")))).drop("url")
+    suspects = fields.where(F.col("text").isNotNull() & (F.trim("text") != "") & ~(F.col("url").eqNullSafe(F.col("text")))).drop("url")
     joined = join_by_frequency(suspects, hosts, "host", F.col("host_records"), hot_threshold(records.count()))
 
     @F.pandas_udf("string")
