@@ -142,7 +142,7 @@ def test_abuse_held_out():
     make = lambda n: [(_bag(rng, insult() if k % 4 == 0 else None), k % 4 == 0) for k in range(n)]
     train, test = make(240), make(120)
     noisy = [(t, {"abuse": float(y if rng.random() > 0.05 else not y)}) for t, y in train]
-    machine = abuse.fit(noisy, [_bag(rng, None) for _ in range(100)])
+    machine = abuse.fit(noisy)
     disguised = lambda t: "\n".join("*".join(line) if "！" in line and "举办" not in line else line for line in t.split("\n"))
     for change in (lambda t: t, disguised):
         got = machine.document_scores([change(t) for t, _ in test])[:, 0] > abuse.DECISION
@@ -154,8 +154,8 @@ def test_abuse_held_out():
 def test_abuse_tables(spark):
     docs = spark.createDataFrame([(1, "文一。", "s"), (2, None, "s"), (3, "", None)], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(1, "abuse", "r"), (9, "none", "r"), (None, None, None)], "doc_id long, category string, rater string")
-    machine = abuse.fit(abuse.labelled_sample(docs, labels), abuse.background_sample(docs, labels))
+    machine = abuse.fit(abuse.labelled_sample(docs, labels))
     scores = abuse.score_documents(docs, machine)
     assert scores.count() == 3 and abuse.flagged(scores).count() == 0
     assert {r["n_docs"] for r in abuse.rates(scores).collect()} == {1, 2}
-    assert abuse.sentences("H0rny s1ngles！ w-o-r-d。") == ["hornysingles", "word"]
+    assert abuse.sentences("H0rny s1ngles！ w-o-r-d。\n回复：一句话") == ["hornysingles", "word", "一句话"]

@@ -14,22 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CATEGORIES = ["abuse", "hate", "sexual"]
-#: Bounds of the fit: labelled documents, unlabelled ones, negative sentences and landmarks taken, whatever there is.
-MAX_DOCUMENTS, MAX_BACKGROUND, MAX_NEGATIVES, LANDMARKS = 8000, 3000, 15_000, 400
+#: Bounds of the fit, whatever there is: labelled documents read, those without any vote that are used, landmarks.
+MAX_DOCUMENTS, MAX_CLEAN, LANDMARKS = 8000, 2500, 400
 #: Subsequences of two and three characters; a skipped character costs DECAY. Places of the hashed feature table.
 DECAY, TABLE = 0.7, 1 << 18
 _SHAPES = [(0, 1), (0, 2), (0, 3), (0, 1, 2), (0, 1, 3), (0, 2, 3)]
-#: Ridge of the machine, rounds of choosing the sentences that make a document positive, and the decision.
-RIDGE, ROUNDS, DECISION = 1.0, 5, -0.25
-
-#: Lift from which on a sentence may be positive at first, and in later rounds, as parts of the median over positive documents of their sentences' greatest lift; and least bar.
-FIRST_LIFT, LATER_LIFT, LEAST_LIFT = 0.5, 0.3, 0.2
+#: Ridge of the machine, rounds of choosing the sentences that make a document positive, folds that find the decision.
+RIDGE, ROUNDS, FOLDS = 1.0, 3, 3
+#: Sentences of this kernel value are near each other; the value is taken from sketches of so many numbers.
+NEAR, SKETCH = 0.5, 256
+#: A score above this is a case: margins are shifted so that it is the decision the folds found.
+DECISION = 0.0
+#: Least positive documents of a category for the folds; with fewer the decision is the machine's own.
+LEAST_POSITIVE = 12
 
 # Characters that stand for letters in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "+": "t", "!": "i", "|": "l", "€": "e", "£": "l"})
 
-#: Ends of sentences, colons after a speaker, and gaps after a run of Han text (not those between single characters).
-_SENTENCES = re.compile(r"(?<=[。！？!?])|\n|(?<=[a-z]{3}[.;]) +|[:：]|(?<=[一-鿿）)0-9”]{5})[ ;；]+|(?<=[一-鿿）)”]{4}[;；])")
+#: Ends of sentences, and gaps after a run of Han text (not those between single characters).
+_SENTENCES = re.compile(r"(?<=[。！？!?])|\n|(?<=[a-z]{3}[.;]) +|(?<=[一-鿿）)0-9”]{5})[ ;；]+|(?<=[一-鿿）)”]{4}[;；])")
+#: What a colon follows, if no longer than this, names a speaker or field and is no sentence.
+LABEL = 12
 #: A longer sentence is scored in overlapping parts of this many letters.
 PART = 80
 #: Letters scored at a time, which bounds the memory of a worker whatever the size of its batch.
@@ -41,8 +46,9 @@ _LETTERS = re.compile(r"[\W_]+")
 def sentences(text: str) -> list[str]:
     """The sentences of a text as bare letters: NFKC, lower case, digits inside words read as letters, other digit runs as 0, nothing between."""
     out = []
-    for part in _SENTENCES.split(unicodedata.normalize("NFKC", text).lower()):
-        if part.strip():
+    for line in _SENTENCES.split(unicodedata.normalize("NFKC", text).lower()):
+        *before, last = line.split(":")
+        for part in [p for p in before if len(p) > LABEL] + [last]:
             words = _LEET_WORD.sub(lambda m: m[0].rstrip("!").translate(_LEET), part)
             bare = re.sub(r"\d+", "0", _LETTERS.sub("", words))
             if len(bare) > PART:
@@ -115,17 +121,20 @@ class StringKernelMachine:
 BIAS = -1.0
 
 
-def _fit_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Weights of a squared-hinge machine with the bias ``BIAS``, by Newton steps on the active set."""
-    w = np.zeros(z.shape[1])
+def _fit_svm(z: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
+    """Weights of a squared-hinge machine with the bias ``BIAS`` for the rows of ``z`` named, by Newton steps on the active set."""
+    at = np.concatenate([positive, negative])
+    y = np.repeat([1.0, -1.0], [len(positive), len(negative)])
+    cost = np.where(y > 0, np.clip(len(negative) / max(1, len(positive)) / 4, 1.0, 5.0), 1.0).astype(np.float32)
+    x, w = z[at], np.zeros(z.shape[1])
     for _ in range(30):
-        active = y * (z @ w + BIAS) < 1
-        x = z[active]
-        a = x * cost[active, None].astype(np.float32)
-        new = np.linalg.solve((a.T @ x).astype(np.float64) + RIDGE * np.eye(z.shape[1]), a.T @ (y[active] - BIAS))
-        if np.abs(new - w).max() < 1e-6:
-            break
+        active = y * (x @ w.astype(np.float32) + BIAS) < 1
+        a = x[active] * cost[active, None]
+        new = np.linalg.solve((a.T @ x[active]).astype(np.float64) + RIDGE * np.eye(z.shape[1]), a.T @ (y[active] - BIAS))
+        done = np.abs(new - w).max() < 1e-5
         w = new
+        if done:
+            break
     return w
 
 
@@ -166,117 +175,148 @@ class _Nystroem:
         return table
 
 
-def fit(labelled: list[tuple[str, dict[str, float]]], background: list[str] = (), seed: int = 5) -> StringKernelMachine:
+def _sketches(texts: list[str], block: int = 1000) -> np.ndarray:
+    """Kernel features of sentences, normalised and hashed into ``SKETCH`` signed sums; dot products approximate the kernel."""
+    out = np.zeros((len(texts), SKETCH), np.float32)
+    for a in range(0, len(texts), block):
+        part = texts[a : a + block]
+        place, weight, owner = kernel_features(part)
+        mixed = place.astype(np.uint64) * np.uint64(0x9E3779B1)
+        sign = np.where(mixed >> np.uint64(20) & np.uint64(1), -weight, weight)
+        sums = np.bincount(owner * SKETCH + (mixed >> np.uint64(21)).astype(np.int64) % SKETCH, sign, minlength=len(part) * SKETCH)
+        out[a : a + len(part)] = sums.reshape(len(part), SKETCH) / _norms(weight, owner, len(part))[:, None]
+    return out
+
+
+class _Bags:
+    """Labelled documents as bags of numbered sentences with their votes."""
+
+    def __init__(self, labelled: list[tuple[str, dict[str, float]]], rng: np.random.Generator) -> None:
+        split = [(list(dict.fromkeys(sentences(t))), [v.get(c, 0.0) for c in CATEGORIES]) for t, v in labelled]
+        marked = [x for x in split if x[0] and any(x[1])]
+        clean = [x for x in split if x[0] and not any(x[1])]
+        bags = marked + [clean[k] for k in sorted(rng.permutation(len(clean))[:MAX_CLEAN].tolist())]
+        self.texts = sorted({s for x, _ in bags for s in x})
+        number = {s: k for k, s in enumerate(self.texts)}
+        self.members = [np.array([number[s] for s in x], np.int64) for x, _ in bags]
+        self.votes = np.array([v for _, v in bags]).reshape(len(bags), len(CATEGORIES))
+        self.flat = np.concatenate([*self.members, np.zeros(0, np.int64)])
+        self.starts = np.cumsum([0, *map(len, self.members)])[:-1]
+        self.sketch = _sketches(self.texts)
+
+    def density(self, at: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """For each sentence of ``at`` and category the votes of the bags with a sentence near it, and how many such bags nobody voted for."""
+        yes, no = np.zeros((len(at), len(CATEGORIES))), np.zeros((len(at), len(CATEGORIES)))
+        unvoted = (self.votes == 0).astype(np.float32)
+        for a in range(0, len(at), block):
+            near = (self.sketch[at[a : a + block]] @ self.sketch.T) >= NEAR
+            bags = np.logical_or.reduceat(near[:, self.flat], self.starts, axis=1).astype(np.float32)
+            yes[a : a + block], no[a : a + block] = bags @ self.votes, bags @ unvoted
+        return yes, no
+
+
+def fit(labelled: list[tuple[str, dict[str, float]]], seed: int = 5) -> StringKernelMachine:
     """A machine from documents with, for each category, the share of raters that saw it.
 
-    A document is a bag of sentences. Sentences of documents in which no rater saw
-    the category are negative. Of a document in which at least half did, those
-    sentences are positive that the machine of the last round chose, at first
-    those whose subsequences occur in more such documents than in negative ones
-    (see :func:`_lift`); documents without any such sentence (a rater erred) drop
-    out, as do negatives that the last rounds still put far on the
-    positive side because a rater overlooked them. Sentences of ``background``,
-    documents that nobody rated, are weak negatives that drop out as soon as they
-    are on the positive side.
+    A document is a bag of sentences, as the votes are on documents. Which sentences
+    make a document positive is told by diverse density: a seed is a sentence near
+    which (kernel value ``NEAR``) two or more voted documents lie, and more than
+    unvoted ones. The machine is fitted to seeds against the sentences of unvoted
+    documents; in further rounds every voted document gives those sentences that
+    the machine puts on the positive side and that aren't near more unvoted
+    documents, and documents without any (a rater erred) drop out, as do negatives
+    near which the voted documents prevail (a rater overlooked them). The decision
+    is found by folds over documents: the margin that gives held-out documents the
+    greatest F1, in the middle of equals. Without any voted document every score of
+    a category is negative.
     """
     rng = np.random.default_rng(seed)
-    bags = [(sentences(t), v) for t, v in labelled]
-    unrated_bags = [sentences(t) for t in background]
-    unrated = {s for x in unrated_bags for s in x}
-    unique = sorted({s for x, _ in bags for s in x} | unrated)
-    number = {s: k for k, s in enumerate(unique)}
-    marked = sorted({number[s] for x, v in bags if any(v.get(c, 0) >= 0.5 for c in CATEGORIES) for s in x})
-    others = np.setdiff1d(np.arange(len(unique)), marked)
-    others = rng.permutation(others)[:MAX_NEGATIVES]
-    used = np.concatenate([np.array(marked, np.int64), others])
-    if not len(used):
-        return StringKernelMachine(np.zeros((TABLE, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), BIAS))
-    place_of = {int(k): i for i, k in enumerate(used)}
-    texts = [unique[k] for k in used]
-    lifts = []
-    for category in CATEGORIES:
-        seen = [[place_of[number[s]] for s in set(x) if number[s] in place_of] for x, v in bags if v.get(category, 0) >= 0.5]
-        unseen = [[place_of[number[s]] for s in set(x) if number[s] in place_of] for x, v in bags if not v.get(category, 0)]
-        lifts.append(_lift(texts, seen, unseen + [[place_of[number[s]] for s in set(x) if number[s] in place_of] for x in unrated_bags]))
-    bars = [_bar(x, [[place_of[number[s]] for s in b if number[s] in place_of] for b, v in bags if v.get(category, 0) >= 0.5]) for x, category in zip(lifts, CATEGORIES, strict=True)]
-    best = np.argmax(lifts, axis=0)
-    telling = {int(k) for c in range(len(CATEGORIES)) for k in rng.permutation(np.flatnonzero((best == c) & (lifts[c] > bars[c])))[: LANDMARKS // 5]}
-    landmarks = [texts[k] for k in sorted({*telling, *rng.permutation(len(texts))[: LANDMARKS - len(telling)].tolist()})]
-    space = _Nystroem(landmarks)
-    z = (space.kernel(texts) @ space.whiten).astype(np.float32)
     table, bias = np.zeros((TABLE, len(CATEGORIES)), np.float32), np.full(len(CATEGORIES), BIAS)
-    for c, category in enumerate(CATEGORIES):
-        positive = [[place_of[number[s]] for s in x if number[s] in place_of] for x, v in bags if v.get(category, 0) >= 0.5]
-        here, there = np.zeros(len(texts)), np.zeros(len(texts))
-        for x, v in bags:
-            (here if v.get(category, 0) >= 0.5 else there)[[place_of[number[s]] for s in set(x) if number[s] in place_of]] += v.get(category, 0) >= 0.5 or not v.get(category, 0)
-        clean = np.flatnonzero(there > here).tolist()  # of sentences in documents of both kinds, those mostly in clean ones
-        positive, rated = [b for b in positive if b], set(clean)
-        weak = {place_of[number[s]] for s in unrated if number[s] in place_of} - rated - {k for b in positive for k in b}
-        if not positive or not clean:
-            continue
-        weights = _choose(z, positive, clean, sorted(weak), lifts[c], np.max(np.delete(lifts, c, axis=0), axis=0), bars[c])
-        table[:, c], bias[c] = space.folded(weights), BIAS
+    bags = _Bags(labelled, rng)
+    voted = [np.flatnonzero(bags.votes[:, c] >= 0.5) for c in range(len(CATEGORIES))]
+    if not any(map(len, voted)):
+        return StringKernelMachine(table, bias)
+    candidates = np.unique(np.concatenate([bags.members[k] for k in np.unique(np.concatenate(voted))]))
+    yes, no = bags.density(candidates)
+    seeds = [_seeds(bags, voted[c], candidates, yes[:, c], no[:, c]) for c in range(len(CATEGORIES))]
+    landmarks = sorted({k for s in seeds for k in _spread(bags.sketch, s, LANDMARKS // 5)})
+    rest = np.setdiff1d(rng.permutation(len(bags.texts)), landmarks)
+    landmarks = sorted({*landmarks, *rng.permutation(rest)[: LANDMARKS - len(landmarks)].tolist()})
+    space = _Nystroem([bags.texts[k] for k in landmarks])
+    z = (space.kernel(bags.texts) @ space.whiten).astype(np.float32)
+    fold = rng.permutation(len(bags.members)) % FOLDS
+    prevail = np.ones((len(bags.texts), len(CATEGORIES)), bool)
+    prevail[candidates] = yes > no
+    for c in range(len(CATEGORIES)):
+        if len(seeds[c]):
+            weights, decision = _choose(bags, c, z, seeds[c], prevail[:, c], fold)
+            table[:, c], bias[c] = space.folded(weights), BIAS - decision
     return StringKernelMachine(table, bias)
 
 
-def _lift(texts: list[str], seen: list[list[int]], unseen: list[list[int]]) -> np.ndarray:
-    """How much more the subsequences of each sentence occur in the documents ``seen`` than in ``unseen``: mean logarithm over its subsequences, low for those of a single document."""
-    place, _, owner = kernel_features(texts)
-    starts = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
-
-    def document_counts(documents: list[list[int]]) -> np.ndarray:
-        counts = np.zeros(TABLE)
-        for d in documents:
-            if d:
-                counts[np.unique(np.concatenate([place[starts[k] : starts[k + 1]] for k in d]))] += 1
-        return counts
-
-    here, there = document_counts(seen), document_counts(unseen)
-    expected = there * (len(seen) / max(1, len(unseen)))
-    lift = np.log((here + 0.2) / (expected + np.sqrt(expected) + 2))
-    return np.bincount(owner, lift[place], minlength=len(texts)) / np.maximum(1, np.bincount(owner, minlength=len(texts)))
-
-
-def _bar(lift: np.ndarray, bags: list[list[int]]) -> float:
-    """The lift from which on a sentence is positive at first."""
-    tops = [max(lift[k] for k in b) for b in bags if b]
-    return max(LEAST_LIFT, FIRST_LIFT * float(np.median(tops))) if tops else LEAST_LIFT
-
-
-def _choose(z: np.ndarray, positive: list[list[int]], clean: list[int], weak: list[int], lift: np.ndarray, other: np.ndarray, bar: float) -> np.ndarray:
-    """Weights of one category after rounds of choosing which sentences are positive.
+def _choose(bags: _Bags, c: int, z: np.ndarray, seeds: np.ndarray, prevail: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and decision of one category after rounds of choosing sentences, each judged by the machine that wasn't fitted to its document.
 
-    ``other`` is the greatest lift in another category: a sentence is eligible only
-    where its lift is greatest, and negative where it clearly belongs elsewhere;
-    ``bar`` is the lift a sentence needs to be positive at first.
-    Only negatives of positive lift may drop out, lest common text do so.
+    With fewer than ``LEAST_POSITIVE`` voted documents there are no folds; the
+    machine judges its own documents and the decision is 0.
     """
-    shared = set(clean)
-    eligible = [[k for k in b if k not in shared and lift[k] > max(bar * LATER_LIFT / FIRST_LIFT, other[k])] for b in positive]
-    clean = sorted(shared | {k for b in positive for k in b if other[k] > max(bar, lift[k])})
-    chosen = sorted({k for b in eligible for k in b if lift[k] > bar}) or sorted({max(b, key=lambda k: lift[k]) for b in positive})
-    negative = np.array([k for k in [*clean, *weak] if k not in set(chosen)])
-    doubtful = np.isin(negative, np.array(weak, np.int64))
-    weights = np.zeros(z.shape[1])
-    for round_ in range(ROUNDS):
-        at = np.concatenate([np.array(chosen), negative])
-        y = np.concatenate([np.ones(len(chosen)), -np.ones(len(negative))])
-        cost = np.where(y > 0, min(5.0, max(1.0, len(negative) / max(1, len(chosen)) / 4)), 1.0)
-        weights = _fit_svm(z[at], y, cost)
-        margin = z @ weights + BIAS
-        new = {k for b in eligible for k in b if margin[k] > 0.2}
-        chosen = sorted(new) or chosen
-        keep = (margin[negative] < np.where(doubtful, 0.0, 0.8)) | (lift[negative] < bar) | (round_ < 1)
-        negative, doubtful = negative[keep], doubtful[keep]
-    return weights
-
-
-def background_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_BACKGROUND) -> list[str]:
-    """At most ``limit`` texts that nobody rated, chosen by a hash of the id."""
-    unrated = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    ids = unrated.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(limit)
-    return [r["text"] for r in sorted(unrated.join(F.broadcast(ids.select("doc_id")), "doc_id").collect(), key=lambda r: r["doc_id"])]
+    size = np.array(list(map(len, bags.members)))
+    owner = np.repeat(np.arange(len(size)), size)
+    voted, unvoted = bags.votes[:, c] >= 0.5, bags.votes[:, c] == 0
+    chosen, negative, decision = seeds, np.setdiff1d(bags.flat[unvoted[owner]], seeds), 0.0
+    split = fold if voted.sum() >= LEAST_POSITIVE else np.full(len(size), -1)
+    for _ in range(ROUNDS):
+        margin = np.full(len(owner), BIAS)
+        for f in np.unique(split):
+            kept = bags.flat[(split[owner] != f) | (f < 0)]
+            fit_to = np.intersect1d(chosen, kept)
+            if len(fit_to):
+                held = split[owner] == f
+                margin[held] = z[bags.flat[held]] @ _fit_svm(z, fit_to, np.intersect1d(negative, kept)) + BIAS
+        if split[0] >= 0:
+            decision = _decision(np.maximum.reduceat(margin, bags.starts), voted, unvoted)
+        above = margin > decision
+        new = np.unique(bags.flat[above & voted[owner] & prevail[bags.flat]])
+        chosen = new if len(new) else chosen
+        raised = np.intersect1d(bags.flat[above & unvoted[owner]], negative)
+        yes, no = bags.density(raised)
+        negative = np.setdiff1d(negative, np.concatenate([raised[yes[:, c] > no[:, c]], chosen]))
+    return _fit_svm(z, chosen, negative), decision
+
+
+def _decision(top: np.ndarray, voted: np.ndarray, unvoted: np.ndarray) -> float:
+    """The margin of greatest F1 on documents whose greatest margins are ``top``, in the middle of equals."""
+    order = np.argsort(-top)
+    order = order[(voted | unvoted)[order]]
+    f1 = 2 * np.cumsum(voted[order]) / (np.arange(1, len(order) + 1) + voted.sum())
+    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
+    return float(np.clip((top[order[best[0]]] + top[order[min(best[-1] + 1, len(order) - 1)]]) / 2, -0.9, 0.9))
+
+
+def _seeds(bags: _Bags, voted: np.ndarray, candidates: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """The sentences of voted documents near which two votes and more than unvoted documents lie; where there are none, the one of each document near the fewest unvoted ones."""
+    if not len(voted):
+        return np.zeros(0, np.int64)
+    own = np.isin(candidates, np.concatenate([bags.members[k] for k in voted]))
+    found = candidates[own & (yes >= 2) & (yes > no)]
+    if len(found):
+        return found
+    rank = dict(zip(candidates.tolist(), (no - yes).tolist(), strict=True))
+    return np.unique([min(bags.members[k].tolist(), key=lambda s: rank[s]) for k in voted])
+
+
+def _spread(sketch: np.ndarray, at: np.ndarray, most: int) -> list[int]:
+    """Up to ``most`` of the sentences ``at``, each next one the farthest from those before."""
+    if not len(at):
+        return []
+    chosen = [int(at[0])]
+    nearest = sketch[at] @ sketch[chosen[0]]
+    while len(chosen) < min(most, len(at)):
+        k = int(np.argmin(nearest))
+        chosen.append(int(at[k]))
+        nearest = np.maximum(nearest, sketch[at] @ sketch[at[k]])
+        nearest[k] = np.inf
+    return chosen
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = MAX_DOCUMENTS) -> list[tuple[str, dict[str, float]]]:

@@ -122,7 +122,7 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def _p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents", "doc_id", "text", "source"), table(spark, folder, "doc_labels")
-    machine = abuse.fit(abuse.labelled_sample(documents, labels), abuse.background_sample(documents, labels))
+    machine = abuse.fit(abuse.labelled_sample(documents, labels))
     return abuse.score_documents(documents, machine)
 
 
