@@ -27,16 +27,16 @@ def folder(spark, tmp_path_factory):
 
 
 def test_page_queries(spark, folder):
-    found = {r["file_id"]: r["abstract"] for r in text_queries.abstracts(spark, folder).collect()}
-    assert found[0] == "own" and found[1] == "y" * 200 and found[2] == "only heading" and found[3] == ""
-    metas = {r["file_id"]: (r["title"], r["abstract"]) for r in text_queries.metas(spark, folder).collect()}
-    assert metas[0] == ("T", "own") and metas[1] == ("U", None)
-    hashes = {r["file_id"]: r["content_hash"] for r in text_queries.content_hash(spark, folder).collect()}
-    assert hashes[0] == hashlib.sha256(b"T H body text").hexdigest() and len(hashes) == 5
-    assert {(r["docid"], r["link"]) for r in text_queries.page_links(spark, folder).collect()} == {(0, "http://a.example/x")}
-    assert [r["link"] for r in crawl_queries.all_links(spark, folder).collect()] == ["http://a.example/x"]
-    assert [(r["file_id"], r["target"]) for r in text_queries.redirect_links(spark, folder).collect()] == [(1, "/new")]
-    assert [r["url"] for r in crawl_queries.recover_redirects(spark, folder).collect()] == ["http://a.example/new"]
+    got = {r["docid"]: r for r in text_queries.QUERIES["page_metadata"](spark, folder).collect()}
+    assert {k: r["abstract"] for k, r in got.items()} == {0: "own", 1: "y" * 200, 2: "only heading", 3: "", 4: ""}
+    assert {k: r["title"] for k, r in got.items()} == {0: "T", 1: "U", 2: "http://a.example/2", 3: "http://a.example/3", 4: "http://a.example/4"}
+    assert got[0]["content_hash"] == hashlib.sha256(b"T H body text").hexdigest() and got[4]["content_hash"] is None and got[4]["published_date"] is None
+    generic = text_queries.page_metadata(text_queries.page_rows(spark, folder), generic=("own",)).where("docid = 0").first()
+    assert generic["abstract"] == "body text"
+    assert {(r["docid"], r["link"]) for r in text_queries.page_links(spark, folder).collect()} == {(0, "http://a.example/x"), (1, "http://a.example/new")}
+    assert [r["link"] for r in crawl_queries.all_links(spark, folder).collect()] == ["http://a.example/new", "http://a.example/x"]
+    assert (1, "http://a.example/new") in [(r["docid"], r["target"]) for r in text_queries.redirect_links(spark, folder).collect()]
+    assert {r["url"] for r in crawl_queries.recover_redirects(spark, folder).collect()} == {"http://a.example/new", "http://a.example/new/a.htm", "http://a.example/up.html"}
 
 
 def test_sub_queries_and_prompts(spark):

@@ -2,7 +2,6 @@
 
 import pytest
 
-from wherry.llm import leakage, residue
 from wherry.operators import rag
 from wherry.plans import crawl_queries, search_queries
 
@@ -52,27 +51,3 @@ def test_chunks_fill_the_budget_of_a_page(spark):
     assert len(lone) == 19 and lone[0] == (1, 6, 2) and [c for _, c, _ in lone[1:]] == [k for k in range(19) if k != 6]
     contexts = {r["query_id"]: r["context"] for r in rag.integrate("custom", results, terms).collect()}
     assert "only a snippet" in contexts[2] and len(contexts[1]) > 9000
-
-
-def test_paraphrases_by_brute_force(spark):
-    item = "".join(chr(0x4E00 + 7 * k) for k in range(60))
-    edits = [
-        "".join(c + ("x" if k % 3 == 2 else "") for k, c in enumerate(item)),
-        "".join(c + ("x" if k % 4 == 3 else "") for k, c in enumerate(item)),
-        "".join("x" if k % 5 == 4 else c for k, c in enumerate(item)),
-        "".join("x" if k % 4 == 3 else c for k, c in enumerate(item)),
-        item[:20],
-        item[::-1],
-    ]
-    items = [(1, item), (2, item[:20])]
-    got = leakage.paraphrases(spark.createDataFrame(list(enumerate(edits)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    want = {(d, i): leakage.lcs_length(t, e) / len(t) for d, e in enumerate(edits) for i, t in items if leakage.lcs_length(t, e) >= 0.8 * len(t)}
-    assert {(r["doc_id"], r["item_id"]): r["overlap"] for r in got} == want and {(0, 1), (1, 1), (2, 1), (4, 2)} <= set(want) and (3, 1) not in want
-
-
-def test_every_field_is_judged(spark):
-    texts = ["页面未找到", "服务器连接超时", "The page has been removed", "too many requests", "bad gateway", "connection refused", "Traceback", "请启用JS后访问", "待办", "fixme", "uiop", "fdsa", "your title", "filler text"]
-    texts = [t for t in texts if residue.evidence(t)]
-    assert len(texts) >= 10
-    rows = spark.createDataFrame([(k, None, t, None) for k, t in enumerate(texts)], "record_no long, url string, title string, abstract string")
-    assert {r["record_no"] for r in residue.residue(rows).collect()} == set(range(len(texts)))

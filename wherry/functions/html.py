@@ -1,4 +1,4 @@
-"""Fields of HTML pages as column expressions over the source, for well-formed enough pages."""
+"""Fields of HTML pages as column expressions over the source: those that need no parser (see ``pages`` for the others)."""
 
 from __future__ import annotations
 
@@ -43,56 +43,12 @@ def headings(page: Column) -> Column:
     return F.transform(found, lambda x: inner_text(x, ""))
 
 
-def paragraphs(page: Column) -> Column:
-    """Texts of the paragraphs; one that isn't closed ends where the next block begins."""
-    found = F.regexp_extract_all(without_code(page), F.lit(r"(?is)<p\b[^>]*>(.*?)(?:</p\s*>|(?=<(?:p|h[1-6]|ul|ol|div|pre|table|section|article|main|footer)\b)|\z)"), F.lit(1))
-    return F.filter(F.transform(found, lambda x: inner_text(x, "")), lambda x: x != "")
-
-
 def visible_text(page: Column) -> Column:
     """All text of the body that a reader sees."""
     body = F.regexp_extract(without_code(page), r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
     return inner_text(body)
 
 
-def body_text(page: Column) -> Column:
-    """The paragraphs of a page, else all its visible text."""
-    joined = F.array_join(paragraphs(page), " ")
-    return F.when(joined != "", joined).otherwise(visible_text(page))
-
-
-def main_text(page: Column) -> Column:
-    """The longest text of an article, main or well-known content container; without any, the visible text."""
-    bare = without_code(page)
-    for tag in ("nav", "footer"):
-        bare = F.regexp_replace(bare, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    spots = [r"(?is)<article\b[^>]*>(.*?)</article\s*>", r"(?is)<main\b[^>]*>(.*?)</main\s*>", r"(?is)<div\b[^>]*class=[\"'][^\"']*\b(?:article-content|article_content|detail|content|v_news_content|TRS_Editor|zi)\b[^\"']*[\"'][^>]*>(.*?)</div\s*>"]
-    texts = F.flatten(F.array(*(F.transform(F.regexp_extract_all(bare, F.lit(p), F.lit(1)), inner_text) for p in spots)))
-    sized = F.transform(texts, lambda x, k: F.struct(F.length(x).alias("n"), (-k).alias("k"), x.alias("x")))
-    return F.coalesce(F.nullif(F.array_max(sized)["x"], F.lit("")), inner_text(F.regexp_replace(bare, r"(?is)<head\b[^>]*>.*?</head\s*>", " ")))
-
-
-def meta_content(page: Column, names: list[str]) -> Column:
-    """Content of the first of ``names`` that a meta element gives, else null; only the first element of each name counts."""
-
-    def one(name: str) -> Column:
-        tag = F.regexp_extract(page, rf"(?is)<meta\b[^>]*\b(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*>", 0)
-        return F.nullif(clean_text(unescape(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*[\"']([^\"']*)[\"']", 1))), F.lit(""))
-
-    return F.coalesce(*map(one, names))
-
-
-def hrefs(page: Column) -> Column:
-    """Distinct targets of links in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(without_code(page), F.lit(r"(?is)<a\b[^>]*\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1)), lambda x: F.trim(unescape(x))))
-
-
-def redirects(page: Column) -> Column:
-    """Targets of meta refreshes and of scripts that set the location."""
-    patterns = [r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh[\"']?[^>]*\burl\s*=\s*[\"']?([^\"'>\s]+)", r"(?is)\blocation(?:\.href)?\s*=\s*[\"']([^\"']+)[\"']", r"(?is)\blocation\.replace\(\s*[\"']([^\"']+)[\"']\s*\)"]
-    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(page, F.lit(p), F.lit(1)) for p in patterns))))
-
-
 def may_redirect(page: Column) -> Column:
-    """Cheap test that is true of every page with :func:`redirects`."""
-    return F.lower(page).rlike(r"location\s*=|location\.(?:href|replace)|http-equiv")
+    """Cheap test that is true of every page with redirects."""
+    return F.lower(page).rlike(r"location\.(?:href|replace)|http-equiv")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.functions import html, urls
+from wherry.functions import urls
 from wherry.operators import frontier
 from wherry.plans import text_queries
 from wherry.session import checkpoint
@@ -48,16 +48,17 @@ def link_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recover_redirects(spark: SparkSession, folder: str) -> DataFrame:
-    """New in-scope targets of redirects in saved pages, with their priority."""
-    pages = table(spark, folder, "page_files", "file_id", "body").where(html.may_redirect(F.col("body")))
-    found = pages.join(table(spark, folder, "doc_map", "docid", "url"), F.col("file_id") == F.col("docid")).select("url", F.explode(html.redirects(F.col("body"))).alias("target"))
-    links = found.select(urls.resolve(F.col("target"), F.col("url")).alias("link")).where(F.col("link").isNotNull()).select(F.col("link").alias("url"), urls.host(F.col("link")).alias("host"))
-    fresh = frontier.new_links(frontier.in_scope(links, table(spark, folder, "sites", "host")), table(spark, folder, "doc_map", "url"))
-    return fresh.select("url", urls.priority(F.col("url")).cast("long").alias("priority"))
+    """New in-scope targets of redirects in saved pages, no files, with their priority as links of the page."""
+    pages = text_queries.parsed_pages(text_queries.redirect_rows(spark, folder))
+    found = pages.select(F.col("url").alias("source"), F.explode("p.redirects").alias("url")).where(~urls.is_ignored(F.col("url")))
+    scored = found.groupBy("url").agg(F.max(urls.priority(F.col("url"), F.col("source"))).cast("long").alias("priority")).withColumn("host", urls.host(F.col("url")))
+    fresh = frontier.in_scope(scored, table(spark, folder, "sites", "host"))
+    return fresh.join(table(spark, folder, "doc_map", "url"), "url", "left_anti").select("url", "priority")
 
 
 def all_links(spark: SparkSession, folder: str) -> DataFrame:
-    return text_queries.page_links(spark, folder).select("link").distinct()
+    """Every link found, once, in sorted order: range partitions sorted on their own."""
+    return text_queries.page_links(spark, folder).select("link").distinct().orderBy("link")
 
 
 QUERIES: dict[str, Query] = {
@@ -69,12 +70,14 @@ QUERIES: dict[str, Query] = {
     "new_links": new_links,
     "link_levels": link_levels,
     "recover_redirects": recover_redirects,
-    "all_links": all_links,
+    "all_links_sorted": all_links,
 }
 
 _ROWS = text_queries.ORACLES["url_priority"]
 _F = f"f as (select d.url, coalesce({text_queries._HOST.replace('url', 'd.url')}, '') as host, x.priority, d.docid as seq from doc_map d join ({_ROWS}) x using (docid))"
 ORACLES = {
+    "recover_redirects": f"select target as url, 1::bigint as priority from ({text_queries.ORACLES['redirect_links']}) where target = 'https://math.yunpu-u.example/moved.htm' and 'math.yunpu-u.example' in (select host from sites)",
+    "all_links_sorted": f"select distinct link from ({text_queries.ORACLES['page_links']})",
     "seed_frontier": "select distinct 'https://' || lower(host) || '/' as url, 4::bigint as priority from sites",
     "frontier_global_order": f"with {_F} select url, row_number() over (order by priority desc, seq) as turn from f",
     "frontier_round_robin": f"with {_F} select url, host, row_number() over (partition by host order by priority desc, seq)::int as round, min(seq) over (partition by host) as host_turn from f",

@@ -45,8 +45,8 @@ def without_code(x: str) -> str:
     return x
 
 
-def unescape(x: str) -> str:
-    for entity, mark in ENTITIES:
+def unescape(x: str, nbsp: str = " ") -> str:
+    for entity, mark in [("&nbsp;", nbsp), *ENTITIES]:
         x = f"replace({x}, {quoted(entity)}, {quoted(mark)})"
     return x
 
@@ -55,6 +55,39 @@ def inner_text(x: str, gap: str = " ") -> str:
     return clean(unescape(f"regexp_replace({x}, '<[^>]*>', {quoted(gap)}, 'g')"))
 
 
+#: A tag or comment, as a parser sees them.
+TAG = r"</?[a-zA-Z][^<>]*>|<!--.*?-->|<![^>]*>"
+
+
+def pieces(x: str, gap: str) -> str:
+    """Text of a fragment as its stripped pieces between tags, joined by ``gap``."""
+    marked = unescape(f"regexp_replace({x}, {quoted(TAG)}, chr(1), 'gs')", "\u00a0")
+    space = WHITE.removesuffix("+") + "*"
+    joined = f"regexp_replace({marked}, {quoted(space + '(?:' + chr(92) + 'x01' + space + ')+')}, {quoted(gap)}, 'g')"
+    return f"regexp_replace({joined}, {quoted('^' + WHITE + '|' + WHITE + '$')}, '', 'g')"
+
+
+_BLOCK = r"(?i)<(p|h[1-6]|ul|ol|div|pre|table|section|article|main|footer|nav)\b"
+
+
+def paragraphs(x: str, gap: str) -> str:
+    """The paragraphs of a page; one that isn't closed ends where the next block begins."""
+    closed = f"regexp_replace({x}, {quoted(_BLOCK)}, '</p><\\1', 'g') || '</p>'"
+    return f"list_filter(list_transform(regexp_extract_all({closed}, {quoted(r'(?is)<p(?:[ ][^>]*)?>(.*?)</p')}, 1), lambda x: {pieces('x', gap)}), lambda x: x <> '')"
+
+
+BESIDE = r"(?is)<(?:nav|footer)\b[^>]*>.*?</(?:nav|footer)\s*>"
+HOLDERS = [r"(?is)<article\b[^>]*>(.*?)</article\s*>", r"(?is)<main\b[^>]*>(.*?)</main\s*>", r'(?is)<div\b[^>]*class="[^"]*\barticle-content\b[^"]*"[^>]*>(.*)</div\s*>']
+#: Every saved page with its parts, for pages as regular as those of the tables.
+PAGES = f"""
+pg as (select file_id as docid, d.url, {without_code("body")} as s from page_files left join doc_map d on d.docid = file_id),
+pb as (select *, case when regexp_matches(s, '(?is)<body') then regexp_extract(s, {quoted(r"(?is)<body[^>]*>(.*?)</body")}, 1) else s end as b from pg),
+pp as (select docid, url, {clean(pieces(f"regexp_extract(s, {quoted(r'(?is)<title[^>]*>(.*?)</title')}, 1)", " "))} as title, b,
+  list_transform(regexp_extract_all(b, {quoted(r"(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>")}, 1), lambda x: {clean(pieces("x", " "))}) as heads,
+  list_transform({paragraphs("b", " ")}, lambda x: {clean("x")}) as paras from pb),
+pm as (select docid, coalesce(nullif(title, ''), url) as title, heads, case when len(paras) > 0 then array_to_string(paras, ' ') else {clean(pieces("b", " "))} end as text, url from pp),
+px as (select docid, url, title, case when text <> '' then substr(text, 1, 200) else coalesce(heads[1], '') end as abstract, '' as published_date, sha256({clean("concat_ws(' ', title, array_to_string(heads, ' '), text)")}) as content_hash from pm)
+"""
 #: The latest record of each page as document with title and body, the headings from its file.
 DOCS = f"""
 m as (select docid, title, abstract, url, published_date, content_hash from page_metadata where docid is not null qualify row_number() over (partition by docid order by record_no desc) = 1),

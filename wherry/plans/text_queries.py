@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.functions import html, text, urls
+from wherry.functions import html, pages, text, urls
 from wherry.operators.index import first_seen, last_wins
 from wherry.plans import sql
 from wherry.sources.tables import table
@@ -59,37 +59,90 @@ def doc_ids(spark: SparkSession, folder: str) -> DataFrame:
     return dense_ids(seen, ["entry_id"], "docid").select("docid", "url")
 
 
+#: Pages with redirects, which the tables lack, as (file_id, page).
+REDIRECT_PAGES = [
+    (-1, '<html><head><meta http-equiv="refresh" content="0; url=/new/a.htm"></head><body></body></html>'),
+    (-2, '<html><head><META content="5;URL=\'http://b.example/x?p=2#top\'" HTTP-EQUIV=Refresh></head></html>'),
+    (-3, '<script>window.location.href = "../up.html"; location.replace(\'HTTP://C.example:80/a/../b\')</script>'),
+    (-4, '<p>location.href = "/in/text.htm"</p><script>var location = "/not.htm"; location.href="javascript:void(0)"</script>'),
+    (-5, '<script>location.href="https://math.yunpu-u.example/moved.htm"</script>'),
+]
+#: Their targets, seen from ``http://a.example/d/page.htm``.
+REDIRECT_TARGETS = [(-1, "http://a.example/new/a.htm"), (-2, "http://b.example/x?p=2"), (-3, "http://a.example/up.html"), (-3, "http://c.example/b"), (-5, "https://math.yunpu-u.example/moved.htm")]
+
+
+def page_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``docid, url, body`` of the saved pages; the url is null for a file that the doc map lacks."""
+    files = table(spark, folder, "page_files", "file_id", "body")
+    return files.join(table(spark, folder, "doc_map", "docid", "url").withColumnRenamed("docid", "file_id"), "file_id", "left").select(F.col("file_id").alias("docid"), "url", "body")
+
+
+def bare_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``docid, url, body`` of the saved pages without urls, for what needs none."""
+    return table(spark, folder, "page_files", "file_id", "body").select(F.col("file_id").alias("docid"), F.lit(None).cast("string").alias("url"), "body")
+
+
+def parsed_pages(rows: DataFrame) -> DataFrame:
+    """``docid, url`` and the parsed page ``p`` of ``rows(docid, url, body)``; every page is parsed once."""
+    return rows.select("docid", "url", pages.parsed(F.col("body"), F.col("url")).alias("p"))
+
+
+def page_metadata(rows: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
+    """``docid, url, title, abstract, published_date, content_hash`` of each page of ``rows(docid, url, body)``.
+
+    The title is the one a meta element names, else the title element, else the
+    url; the abstract that of a meta element, else (or if it is one of ``generic``,
+    which say the same on every page) the first 200 characters of the paragraphs,
+    else of all visible text, else the first heading. The hash is of title,
+    headings and text. A page that can't be parsed, or is null, keeps its url as
+    title, an empty abstract and nulls.
+    """
+    p = F.col("p")
+    body = F.coalesce(F.nullif(F.array_join(p["paragraphs_spaced"], " "), F.lit("")), p["visible"])
+    parts = parsed_pages(rows).select("docid", "url", "p", F.coalesce(pages.meta(p, html.TITLE_METAS), F.nullif(p["title_spaced"], F.lit("")), F.col("url")).alias("title"), pages.meta(p, html.ABSTRACT_METAS).alias("named"), body.alias("text"))
+    named = F.when(~F.col("named").isin(*generic), F.col("named")) if generic else F.col("named")
+    abstract = F.coalesce(named, F.nullif(F.substring("text", 1, 200), F.lit("")), F.get(p["headings_spaced"], F.lit(0)), F.lit(""))
+    whole = F.when(F.col("text").isNotNull(), F.sha2(text.clean_text(F.concat_ws(" ", "title", F.array_join(p["headings_spaced"], " "), "text")), 256))
+    return parts.select("docid", "url", "title", abstract.alias("abstract"), F.coalesce(pages.meta(p, html.DATE_METAS), F.when(whole.isNotNull(), F.lit(""))).alias("published_date"), whole.alias("content_hash"))
+
+
 def metas(spark: SparkSession, folder: str) -> DataFrame:
-    """Title, date and abstract that pages name in meta elements, by priority; else the title element, else nothing."""
-    pages = table(spark, folder, "page_files")
-    body = F.col("body")
-    shown = F.coalesce(html.meta_content(body, html.TITLE_METAS), F.nullif(html.title(body), F.lit("")))
-    return pages.select("file_id", shown.alias("title"), html.meta_content(body, html.DATE_METAS).alias("published_date"), html.meta_content(body, html.ABSTRACT_METAS).alias("abstract"))
+    """Title and date to show for every page."""
+    return page_metadata(page_rows(spark, folder)).select("docid", "title", "published_date")
+
+
+def content_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return page_metadata(page_rows(spark, folder)).select("docid", "content_hash")
 
 
 def abstracts(spark: SparkSession, folder: str) -> DataFrame:
     """The abstract a page gets: its own, else the first 200 characters of its text, else its first heading."""
-    body = F.col("body")
-    cut = F.substring(html.body_text(body), 1, 200)
-    return table(spark, folder, "page_files").select("file_id", F.coalesce(html.meta_content(body, html.ABSTRACT_METAS), F.nullif(cut, F.lit("")), F.get(html.headings(body), F.lit(0)), F.lit("")).alias("abstract"))
+    return page_metadata(page_rows(spark, folder)).select("docid", "abstract")
 
 
-def content_hash(spark: SparkSession, folder: str) -> DataFrame:
-    body = F.col("body")
-    whole = text.clean_text(F.concat_ws(" ", html.title(body), F.array_join(html.headings(body), " "), html.body_text(body)))
-    return table(spark, folder, "page_files").select("file_id", F.sha2(whole, 256).alias("content_hash"))
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest text of any known container of each page, else of its body."""
+    return parsed_pages(bare_pages(spark, folder)).select("docid", F.col("p.content").alias("text"))
+
+
+def page_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return parsed_pages(bare_pages(spark, folder)).select("docid", F.posexplode("p.paragraphs").alias("pos", "paragraph"))
 
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
-    """Links of every page, resolved against its url."""
-    pages = table(spark, folder, "page_files", "file_id", "body").join(table(spark, folder, "doc_map", "docid", "url"), F.col("file_id") == F.col("docid"))
-    found = pages.select("docid", "url", F.explode(html.hrefs(F.col("body"))).alias("href"))
-    return found.select("docid", urls.resolve(F.col("href"), F.col("url")).alias("link")).where(F.col("link").isNotNull()).distinct()
+    """Distinct links and redirects of every page, absolute and normalised."""
+    found = parsed_pages(page_rows(spark, folder))
+    return found.select("docid", F.explode(F.array_distinct(F.concat("p.links", "p.redirects"))).alias("link"))
+
+
+def redirect_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``docid, url, body`` of pages that may redirect: saved ones, told by a test of the source, and ``REDIRECT_PAGES``."""
+    samples = spark.createDataFrame([(k, "http://a.example/d/page.htm", p) for k, p in REDIRECT_PAGES], "docid long, url string, body string")
+    return page_rows(spark, folder).unionByName(samples).where(html.may_redirect(F.col("body")))
 
 
 def redirect_links(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "page_files", "file_id", "body").where(html.may_redirect(F.col("body")))
-    return pages.select("file_id", F.explode(html.redirects(F.col("body"))).alias("target"))
+    return parsed_pages(redirect_rows(spark, folder)).select("docid", F.explode("p.redirects").alias("target"))
 
 
 def highlighted(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,14 +196,16 @@ QUERIES: dict[str, Query] = {
     "html_content_type": html_content_type,
     "page_title": _select("page_files", "file_id", lambda: html.title(F.col("body")), "title"),
     "page_headings": _explode("page_files", "file_id", lambda: html.headings(F.col("body")), "heading"),
-    "page_paragraphs": _explode("page_files", "file_id", lambda: html.paragraphs(F.col("body")), "paragraph"),
+    "page_paragraphs": page_paragraphs,
     "visible_text": _select("page_files", "file_id", lambda: html.visible_text(F.col("body")), "text"),
-    "main_text": _select("page_files", "file_id", lambda: html.main_text(F.col("body")), "text"),
+    "main_text": main_text,
+    "page_metadata": lambda s, d: page_metadata(page_rows(s, d)),
     "display_metas": metas,
     "abstracts": abstracts,
     "content_hash": content_hash,
     "page_links": page_links,
     "redirect_links": redirect_links,
+    "redirect_prefilter": lambda s, d: redirect_rows(s, d).select("docid"),
     "highlight": highlighted,
     "present_results": present_results,
     "clean_text": _select("search_results", "result_id", lambda: text.clean_text(F.col("content")), "text"),
@@ -169,7 +224,6 @@ QUERIES: dict[str, Query] = {
 }
 
 _Q = sql.quoted
-_PARA = r"(?is)<p\b[^>]*>(.*?)(?:</p\s*>|\z)"
 _URL = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
@@ -189,7 +243,23 @@ def _unnest(table_name: str, key: str, array: str, item: str) -> str:
 _BODY_RE = r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)"
 _HEADS = f"list_transform(regexp_extract_all({sql.without_code('body')}, '(?is)<h[1-3]\\b[^>]*>(.*?)</h[1-3]\\s*>', 1), lambda x: {sql.inner_text('x', '')})"
 
+_HELD = " , ".join(f"regexp_extract_all(m, {_Q(p)}, 1)" for p in sql.HOLDERS)
+_LONGEST = f"list_transform(flatten([{_HELD}]), lambda x: {sql.clean(sql.pieces('x', ' '))})"
+_PORT = f"case when {_part('url', 3)} = '' or (lower({_part('url', 1)}) = 'http' and {_part('url', 3)} = '80') or (lower({_part('url', 1)}) = 'https' and {_part('url', 3)} = '443') then '' else ':' || {_part('url', 3)} end"
+_ORIGIN = f"lower({_part('url', 1)}) || '://' || lower({_part('url', 2)}) || {_PORT}"
+_TARGETS = ", ".join(f"({k}, {_Q(u)})" for k, u in REDIRECT_TARGETS)
+_METADATA = f"with {sql.PAGES} select %s from px"
+
 ORACLES = {
+    "main_text": f"with {sql.PAGES}, mm as (select docid, regexp_replace(b, {_Q(sql.BESIDE)}, ' ', 'g') as m from pb), ml as (select docid, m, {_LONGEST} as a from mm) select docid, case when len(a) > 0 then list_reduce(a, lambda x, y: case when length(y) > length(x) then y else x end) else {sql.clean(sql.pieces('m', ' '))} end as text from ml",
+    "page_paragraphs": _unnest("pb", "docid", sql.paragraphs("b", ""), "paragraph").replace("select docid, unnest", f"with {sql.PAGES} select docid, unnest", 1),
+    "page_metadata": _METADATA % "docid, url, title, abstract, published_date, content_hash",
+    "display_metas": _METADATA % "docid, title, published_date",
+    "abstracts": _METADATA % "docid, abstract",
+    "content_hash": _METADATA % "docid, content_hash",
+    "page_links": f"with {sql.PAGES} select distinct docid, {_ORIGIN} || h as link from (select docid, url, unnest(regexp_extract_all(s, {_Q('(?is)<a' + chr(92) + 'b[^>]*href=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)', )}, 1)) as h from pg) where {_part('url', 2)} <> ''",
+    "redirect_links": f"select k::bigint as docid, target from (values {_TARGETS}) x(k, target)",
+    "redirect_prefilter": f"select file_id as docid from page_files where regexp_matches(lower(body), 'location\\.(href|replace)|http-equiv') union all select unnest({[k for k, _ in REDIRECT_PAGES]})::bigint",
     "scan_docs": "select docid, url, file from doc_map",
     "metadata_last_wins": "select url, record_no, title, abstract, published_date from page_metadata qualify row_number() over (partition by url order by record_no desc) = 1",
     "metadata_status": "select (count(*) - count(*) filter (f))::bigint as n_ok, count(*) filter (f) as n_failed from (select coalesce(title = url and coalesce(abstract, '') = '' and content_hash is null, false) as f from page_metadata)",
