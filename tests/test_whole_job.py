@@ -1,6 +1,7 @@
 """Queries that must see all rows, on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from wherry.operators import rag
 from wherry.plans import crawl_queries, search_queries
@@ -35,14 +36,14 @@ def test_merges_take_all_results(spark, tmp_path):
     rows = [(1, k, f"u{k}", f"T{k}", f"snippet {k} " + "x" * 400, f"content {k}。") for k in range(1, 21)]
     spark.createDataFrame(rows, "query_id long, rank_no int, url string, title string, snippet string, content string").write.parquet(f"{tmp_path}/search_results.parquet")
     spark.createDataFrame([(1, "why")], "query_id long, text string").write.parquet(f"{tmp_path}/queries.parquet")
-    for name, column, last in (("snippet_merge", "context", "[20] snippet 20 "), ("full_merge", "context", "content 20。"), ("rag_prompts", "prompt", "content 20。")):
+    for name, column, last in (("snippet_merge", "context", "内容：snippet 20 "), ("full_merge", "context", "content 20。")):
         assert last in search_queries.QUERIES[name](spark, str(tmp_path)).first()[column]
 
 
 def test_chunks_fill_the_budget_of_a_page(spark):
     long = "".join(f"{k:05d}" for k in range(3000))
     rows = [(1, 1, "a", "A", long[:3210] + "q" + long[3211:], None), (2, 12, "late", "L", "z" * 900, None)] + [(2, k, f"u{k}", "U", None if k == 1 else long, "only a snippet") for k in range(1, 11)]
-    results = spark.createDataFrame(rows, "query_id long, rank_no int, docid string, title string, content string, snippet string")
+    results = spark.createDataFrame(rows, "query_id long, rank_no int, docid string, title string, content string, snippet string").withColumn("url", F.col("docid"))
     terms = spark.createDataFrame([(1, "q")], "query_id long, term string")
     got = rag.best_chunks(results, terms).collect()
     text = {d: sum(len(r["chunk"]) for r in got if r["docid"] == d) for d in ("a", "u1", "u2", "late")}

@@ -28,8 +28,12 @@ def compact(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Terms of a text: folded words of ASCII letters and digits, and pairs of neighbouring Han characters (a lone one by itself). Empty for null."""
-    words = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), "[^0-9a-z一-鿿]+|(?<=[0-9a-z])(?=[一-鿿])|(?<=[一-鿿])(?=[0-9a-z])", " ")
+    """Terms of a text: folded words of letters and digits of any script, and pairs of neighbouring Han characters (a lone one by itself). Empty for null.
+
+    This is the default tokenizer; wherever one is taken, any function from a text
+    column to an array of terms may be given instead.
+    """
+    words = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+|(?<=[\p{L}\p{N}&&[^一-鿿]])(?=[一-鿿])|(?<=[一-鿿])(?=[\p{L}\p{N}&&[^一-鿿]])", " ")
     # A Han character takes its neighbour along; the last of a run has given itself to the one before.
     paired = F.regexp_replace(words, "([一-鿿])(?=([一-鿿]))|(?<=[一-鿿])[一-鿿]", "$1$2 ")
     return F.array_remove(F.split(paired, " +"), "")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wherry.functions import urls
+from wherry.operators.skew import hot_threshold, join_by_frequency
 from wherry.session import checkpoint
+from wherry.sources.jsonl import exists
 
 
 def global_order(frontier: DataFrame) -> DataFrame:
@@ -16,14 +19,42 @@ def global_order(frontier: DataFrame) -> DataFrame:
     return dense_ids(ordered, ["_p", "seq"], "turn").select("url", (F.col("turn") + 1).alias("turn"))
 
 
+def place_in_group(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, the place (from 1) of each row in its ``group`` by ``order``, though one group may hold most rows.
+
+    Rows are sorted in range partitions of group and order, so a large group lies
+    in many; a row's place is its place in the partition's part of the group plus
+    the rows of that group in partitions before, of which one count for each group
+    and partition is summed.
+    """
+    keys = [group, *order]
+    # The sort and the numbers of its partitions must be the same for both reads.
+    ranged = checkpoint(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    parts = ranged.withColumn("_part", F.shiftright("_at", 33))
+    counts = parts.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = parts.join(F.broadcast(starts) if _few(starts) else starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_part", "_g", "_p", "_first", "_before")
+
+
+#: Starts of groups that are broadcast at most.
+FEW = 100_000
+
+
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(FEW + 1).count() <= FEW
+
+
 def round_robin(frontier: DataFrame) -> DataFrame:
     """``url, host, round, host_turn``: hosts take turns in order of their first sight, each with its best url left.
 
-    A url's round is its place within its host; no global sort is needed to know it.
+    A url's round is its place within its host, which no single task needs to sort.
     """
-    best = Window.partitionBy("host").orderBy(F.desc("priority"), F.asc("seq"))
-    first = frontier.groupBy("host").agg(F.min("seq").alias("host_turn"))
-    return frontier.withColumn("round", F.row_number().over(best)).join(first, "host").select("url", "host", "round", "host_turn")
+    placed = place_in_group(frontier.withColumn("_down", -F.col("priority")), "host", ["_down", "seq"], "_round").drop("_down")
+    first = frontier.groupBy("host").agg(F.min("seq").alias("host_turn"), F.count("*").alias("_n"))
+    joined = join_by_frequency(placed, first, "host", F.col("_n"), hot_threshold(frontier.count()))
+    return joined.select("url", "host", F.col("_round").cast("int").alias("round"), "host_turn")
 
 
 def schedule(frontier: DataFrame, wait: float) -> DataFrame:
@@ -57,27 +88,98 @@ def bfs_levels(links: DataFrame, seeds: DataFrame, max_level: int | None = None)
     return seen
 
 
-def crawl(seeds: DataFrame, fetch, extract, hosts: DataFrame, max_count: int, batch: int = 100) -> DataFrame:
-    """Pages fetched from the seeds on: ``url, html`` rows of at most ``max_count`` attempts.
+#: How a crawl picks its next urls: hosts in turn by priority, all by priority, or first come first served.
+ORDERS = ("host", "priority", "fifo")
 
-    ``fetch`` maps a table of ``url`` to one of ``url, html`` (failures absent) and
-    ``extract`` a table of ``url, html`` to one of links ``url, host``. Rounds of at
-    most ``batch`` urls in the order of :func:`round_robin`; each round is written.
+
+def seed_rows(seeds: DataFrame) -> DataFrame:
+    """``url, host, priority, seq`` of the distinct seeds (``url, ordinal``), numbered from 1 in order of their first ordinal; those without host are left out."""
+    from wherry.operators.index import dense_ids
+
+    first = seeds.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("ordinal").alias("_o"))
+    rows = first.select("url", "_o", urls.host(F.col("url")).alias("host"), urls.priority(F.col("url")).cast("long").alias("priority")).where(F.col("host").isNotNull())
+    return dense_ids(rows, ["_o", "url"], "seq").select("url", "host", "priority", (F.col("seq") + 1).alias("seq"))
+
+
+class Crawl:
+    """A crawl as tables in a folder, round by round, so that it can be stopped and taken up again.
+
+    ``known(url, host, priority, seq)`` has every url found so far and ``tried(url,
+    final_url, round)`` every attempt; a round's folder counts once its ``_SUCCESS``
+    is there. Given ``hosts`` bound the crawl, also after redirects; None means any.
     """
-    from wherry.functions import urls
-
-    frontier = seeds.select("url").distinct()
-    tried = frontier.limit(0)
-    pages, attempts = None, 0
-    while attempts < max_count:
-        rows = new_links(frontier, tried).where(~urls.is_ignored(F.col("url"))).select("url", urls.host(F.col("url")).alias("host"), urls.priority(F.col("url")).alias("priority"), F.xxhash64("url").alias("seq"))
-        turn = checkpoint(round_robin(rows).orderBy("round", "host_turn").limit(min(batch, max_count - attempts)).select("url"))
-        count = turn.count()
-        if not count:
-            break
-        attempts += count
-        got = checkpoint(fetch(turn))
-        pages = got if pages is None else pages.unionByName(got)
-        tried = checkpoint(tried.unionByName(turn))
-        frontier = checkpoint(frontier.unionByName(in_scope(extract(got), hosts).select("url")).distinct())
-    return pages if pages is not None else seeds.select("url", F.lit(None).cast("string").alias("html")).limit(0)
+
+    def __init__(self, spark: SparkSession, folder: str, seeds: DataFrame, hosts: DataFrame | None = None, order: str = "host") -> None:
+        if order not in ORDERS:
+            raise ValueError(f"unknown order {order!r}; known are {ORDERS}")
+        self.spark, self.folder, self.hosts, self.order = spark, folder, hosts, order
+        self.round = 0
+        while exists(spark, f"{folder}/known/{self.round}/_SUCCESS"):
+            self.round += 1
+        known = self._read("known")
+        fresh = self._scoped(seed_rows(seeds))
+        if known is not None:  # seeds that a resumed crawl doesn't know are put in behind what it does
+            top = known.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            fresh = fresh.join(known.select("url"), "url", "left_anti").withColumn("seq", F.col("seq") + F.lit(top))
+        self._commit(fresh, None)
+
+    def _read(self, name: str) -> DataFrame | None:
+        found = [f"{self.folder}/{name}/{k}" for k in range(self.round) if name == "known" or exists(self.spark, f"{self.folder}/{name}/{k}/_SUCCESS")]
+        return self.spark.read.parquet(*found) if found else None
+
+    def _commit(self, fresh: DataFrame, attempts: DataFrame | None) -> None:
+        if attempts is not None:
+            attempts.write.mode("overwrite").parquet(f"{self.folder}/tried/{self.round}")
+        fresh.select("url", "host", "priority", "seq").write.mode("overwrite").parquet(f"{self.folder}/known/{self.round}")
+        self.round += 1
+
+    def _scoped(self, rows: DataFrame) -> DataFrame:
+        return rows if self.hosts is None else in_scope(rows, self.hosts)
+
+    def frontier(self) -> DataFrame:
+        """``url, host, priority, seq`` of what is known and not tried, without files that are no pages."""
+        known, tried = self._read("known"), self._read("tried")
+        rows = known if tried is None else known.join(tried.select("url"), "url", "left_anti")
+        return rows.where(~urls.is_ignored(F.col("url")))
+
+    def attempts(self) -> int:
+        tried = self._read("tried")
+        return 0 if tried is None else tried.count()
+
+    def turn(self, n: int) -> DataFrame:
+        """The next ``n`` urls."""
+        rows = self.frontier()
+        if self.order == "host":
+            return round_robin(rows).orderBy("round", "host_turn", "url").limit(n).select("url")
+        return rows.orderBy(*([F.desc("priority")] if self.order == "priority" else []), "seq").limit(n).select("url")
+
+    def run(self, fetch, extract, max_count: int, batch: int = 100) -> DataFrame:
+        """Goes on until ``max_count`` attempts, failures included, or nothing is left; gives ``pages()``.
+
+        ``fetch`` maps a table of ``url`` to ``url, final_url, html`` (failures absent),
+        ``extract`` one of ``url, html`` (the page's final url) to links ``source, url, ordinal``. A page that was redirected out of ``hosts`` is dropped.
+        """
+        from wherry.operators.index import dense_ids
+
+        done = self.attempts()
+        while done < max_count:
+            turn = checkpoint(self.turn(min(batch, max_count - done)))
+            count = turn.count()
+            if not count:
+                break
+            done += count
+            got = checkpoint(fetch(turn).withColumn("host", urls.host(F.col("final_url"))))
+            kept = checkpoint(self._scoped(got))
+            kept.select("url", "final_url", "html").write.mode("overwrite").parquet(f"{self.folder}/pages/{self.round}")
+            found = extract(kept.select(F.col("final_url").alias("url"), "html")).select(F.col("source"), F.col("url"), F.col("ordinal"))
+            scored = found.where(F.col("url").isNotNull()).groupBy("url").agg(F.max(urls.priority(F.col("url"), F.col("source"))).cast("long").alias("priority"), F.min("ordinal").alias("_o")).withColumn("host", urls.host(F.col("url"))).where(F.col("host").isNotNull())
+            known = self._read("known")
+            top = known.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+            fresh = dense_ids(self._scoped(scored).join(known.select("url"), "url", "left_anti"), ["_o", "url"], "seq").withColumn("seq", F.col("seq") + F.lit(top + 1))
+            self._commit(fresh, turn.join(got.select("url", "final_url"), "url", "left").withColumn("round", F.lit(self.round)))
+        return self.pages()
+
+    def pages(self) -> DataFrame:
+        """``url, final_url, html`` of all pages fetched."""
+        found = [f"{self.folder}/pages/{k}" for k in range(self.round) if exists(self.spark, f"{self.folder}/pages/{k}/_SUCCESS")]
+        return self.spark.read.parquet(*found) if found else self.spark.createDataFrame([], "url string, final_url string, html string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherry.functions.text import STOPWORDS, tokens
+from wherry.sources.jsonl import write_index
 from wherry.operators.skew import hot_threshold, join_by_frequency
 from wherry.session import checkpoint
 
@@ -31,20 +32,39 @@ def dense_ids(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return ranged.withColumn("_p", part).join(F.broadcast(shift), "_p").withColumn(name, F.col("_shift") + within).drop("_at", "_p", "_shift")
 
 
-def field_terms(docs: DataFrame) -> DataFrame:
-    """``docid, field, term``, one row per occurrence, of ``docs(docid, title, headings, body)``; null fields have none, a document with only nulls stays out."""
-    fields = F.array(*(tokens(x) for x in (F.col("title"), F.array_join("headings", " "), F.col("body"))))
+def field_terms(docs: DataFrame, tokenizer=tokens, stopwords: list[str] | DataFrame = STOPWORDS) -> DataFrame:
+    """``docid, field, term``, one row per occurrence, of ``docs(docid, title, headings, body)``; null fields have none, a document with only nulls stays out.
+
+    ``tokenizer`` maps a text column to an array of terms; ``stopwords`` is a list, or
+    a table with the column ``word`` (see ``sources.jsonl.read_words``) of any size.
+    """
+    fields = F.array(*(tokenizer(x) for x in (F.col("title"), F.array_join("headings", " "), F.col("body"))))
     by_field = docs.select("docid", F.posexplode(fields).alias("k", "terms"))
     rows = by_field.select("docid", F.element_at(F.array(*map(F.lit, FIELD_WEIGHTS)), F.col("k") + 1).alias("field"), F.explode("terms").alias("term"))
-    return rows.where(~F.col("term").isin(*STOPWORDS))
+    if isinstance(stopwords, DataFrame):
+        return rows.join(stopwords.select(F.col("word").alias("term")), "term", "left_anti").select("docid", "field", "term")
+    return rows.where(~F.col("term").isin(*stopwords))
 
 
-def postings(docs: DataFrame) -> DataFrame:
+def postings(docs: DataFrame, tokenizer=tokens, stopwords: list[str] | DataFrame = STOPWORDS) -> DataFrame:
     """``docid, term, tf, weighted_tf``; one shuffle, with partial sums."""
     weight = F.lit(0)
     for field, w in FIELD_WEIGHTS.items():
         weight = F.when(F.col("field") == field, w).otherwise(weight)
-    return field_terms(docs).groupBy("docid", "term").agg(F.count("*").alias("tf"), F.sum(weight).alias("weighted_tf"))
+    return field_terms(docs, tokenizer, stopwords).groupBy("docid", "term").agg(F.count("*").alias("tf"), F.sum(weight).alias("weighted_tf"))
+
+
+def build(docs: DataFrame, path: str, n_docs: int) -> None:
+    """Writes the index of ``docs`` to the folder ``path``: ``postings`` with weights, sorted by term, ``terms`` and, last, ``docs`` with their ``length``.
+
+    ``n_docs`` is the number of documents, counting those without terms. Each table is
+    committed as a whole, so an index with its last table is complete.
+    """
+    spark = docs.sparkSession
+    raw = checkpoint(postings(docs))
+    terms = term_statistics(raw, n_docs)
+    write_index({"terms": terms, "postings": weigh(raw, terms, raw.count())}, path)
+    write_index({"docs": docs.join(norms(docs, spark.read.parquet(f"{path}/postings")), "docid")}, path)
 
 
 def term_statistics(index: DataFrame, n_docs: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def ranking_metrics(results: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """One row: ``mrr, hit_1, hit_3, hit_5, hit_10, recall, precision, map_score, ndcg`` at ``k``, averaged over ``queries``.
+    """One row: ``mrr, hit_1, hit_3, hit_5, hit_10, hit_20, recall, precision, map_score, ndcg`` at ``k``, averaged over ``queries``.
 
     ``results(query_id, docid, rank_no)``, ``relevant(query_id, docid)``. A query
     without result or relevant document counts 0.
@@ -21,7 +21,7 @@ def ranking_metrics(results: DataFrame, relevant: DataFrame, queries: DataFrame,
     precisions = F.aggregate(F.transform("r", lambda x, i: (i + 1) / x), F.lit(0.0), lambda a, x: a + x)
     some = F.size("r") > 0
     each = rows.select(
-        F.when(some, 1 / F.get("r", F.lit(0))).otherwise(0.0).alias("mrr"), *(F.when(some & (F.get("r", F.lit(0)) <= j), 1.0).otherwise(0.0).alias(f"hit_{j}") for j in (1, 3, 5, 10)),
+        F.when(some, 1 / F.get("r", F.lit(0))).otherwise(0.0).alias("mrr"), *(F.when(some & (F.get("r", F.lit(0)) <= j), 1.0).otherwise(0.0).alias(f"hit_{j}") for j in (1, 3, 5, 10, 20)),
         F.coalesce(F.size("r") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("recall"), (F.size("r") / k).alias("precision"), F.coalesce(precisions / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("map_score"), F.when(F.col("n") > 0, gain / ideal).otherwise(0.0).alias("ndcg"),
     )
     return each.agg(*(F.round(F.avg(c), 6).alias(c) for c in each.columns))

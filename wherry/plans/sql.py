@@ -26,7 +26,8 @@ def compact(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    runs = f"regexp_extract_all({fold(f'coalesce({x}, {quoted('')})')}, '[0-9a-z]+|[{HAN}]+')"
+    spaced = f"regexp_replace({fold(f'coalesce({x}, {quoted('')})')}, '([{HAN}]+)', ' \\1 ', 'g')"
+    runs = f"regexp_extract_all({spaced}, '[\\p{{L}}\\p{{N}}]+')"
     return f"flatten(list_transform({runs}, lambda r: case when regexp_matches(r, '^[{HAN}]') then list_transform(range(1, greatest(2, length(r))), lambda k: substr(r, k, 2)) else [r] end))"
 
 
@@ -113,7 +114,7 @@ s as (select query_id, docid, round(dot / length / qlength, 9) as score, first_p
 c as (select *, row_number() over (partition by query_id order by score desc, first_pos, docid) as rank_no from s)
 """
 RERANKED = f"""{SCORES},
-cand as (select * from c where rank_no <= 100),
+cand as (select * from c where rank_no <= 500),
 rt as (select query_id, term, {compact("term")} as ct, idf from v where length({compact("term")}) >= 2),
 tx as (select docid, {compact("concat(coalesce(title, ''), coalesce(published_date, ''))")} as tt, {compact("body")} as ta from docs),
 cov as (select cand.query_id, cand.docid, coalesce(sum(case when contains(tt, ct) then rt.idf else 0 end) / nullif(sum(rt.idf), 0), 0) as title_share, coalesce(sum(case when contains(ta, ct) then rt.idf else 0 end) / nullif(sum(rt.idf), 0), 0) as abstract_share, coalesce(sum(case when p.term is not null then rt.idf else 0 end) / nullif(sum(rt.idf), 0), 0) as document_share

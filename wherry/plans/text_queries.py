@@ -184,6 +184,29 @@ def html_content_type(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("content_type", F.coalesce(kind.isin("text/html", "application/xhtml+xml"), F.lit(True)).alias("is_page"))
 
 
+#: Texts in scripts that the tables lack.
+SCRIPTS = ["Café naïve STRASSE Straße", "Привет, мир 2024", "한국어 토큰", "タワー東京タワー", "abc学院xyz 学", "", "١٢٣ ok"]
+
+
+def tokenize_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(SCRIPTS)), "text_id long, text string")
+    return rows.select("text_id", F.posexplode(text.tokens(F.col("text"))).alias("pos", "token"))
+
+
+#: Page bytes in several charsets as (file_id, hex), and what is read from them.
+BYTES = [(k, t.encode(c).hex()) for k, (t, c) in enumerate([("<p>学院</p>", "utf-8"), ("<p>大学新闻</p>", "gb18030"), ('<meta charset="big5"><p>學院</p>', "big5"), ("<p>é</p>", "utf-16"), ("", "utf-8")])]
+READ = ["<p>学院</p>", "<p>大学新闻</p>", '<meta charset="big5"><p>學院</p>', "<p>é</p>", ""]
+
+
+def valid_utf8_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Which pages are valid UTF-8, and their text whatever the charset: saved bodies and ``BYTES``."""
+    from wherry.sources.jsonl import decoded
+
+    saved = table(spark, folder, "page_files", "file_id", "body").select("file_id", F.col("body").cast("binary").alias("content"))
+    rows = spark.createDataFrame([(-1 - k, h) for k, h in BYTES], "file_id long, h string").select("file_id", F.unhex("h").alias("content"))
+    return saved.unionByName(rows).select("file_id", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"), F.md5(decoded(F.col("content"))).alias("text_hash"))
+
+
 QUERIES: dict[str, Query] = {
     "scan_docs": lambda spark, folder: table(spark, folder, "doc_map", "docid", "url", "file"),
     "metadata_last_wins": metadata_last_wins,
@@ -210,6 +233,8 @@ QUERIES: dict[str, Query] = {
     "present_results": present_results,
     "clean_text": _select("search_results", "result_id", lambda: text.clean_text(F.col("content")), "text"),
     "tokenize": _explode("page_metadata", "record_no", lambda: text.tokens(F.col("title")), "token"),
+    "tokenize_scripts": tokenize_scripts,
+    "valid_utf8_pages": valid_utf8_pages,
     "normalize_terms": _explode("page_metadata", "record_no", lambda: text.without_stopwords(text.tokens(F.col("abstract"))), "term"),
     "compact_text": _select("page_metadata", "record_no", lambda: text.compact(F.col("title")), "compact"),
     "term_occurrences": _select("documents", "doc_id", lambda: text.occurrences(F.coalesce(F.col("text"), F.lit("")), F.lit("学院")), "n"),
@@ -227,11 +252,18 @@ _Q = sql.quoted
 _URL = r"^(?i)(https?)://(?:[^/?#@]*@)?([^/?#:]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
-def _part(x: str, k: int) -> str:
+def part_sql(x: str, k: int) -> str:
+    """Group ``k`` of a url in SQL: 1 scheme, 2 host, 3 port, 4 path, 5 query."""
     return f"regexp_extract(regexp_replace({x}, {_Q(sql.WHITE)}, '', 'g'), {_Q(_URL.replace('^(?i)', '(?i)^'))}, {k})"
 
 
-_HOST = f"nullif(lower({_part('url', 2)}), '')"
+
+
+def host_sql(x: str) -> str:
+    return f"nullif(lower({part_sql(x, 2)}), '')"
+
+
+_HOST = host_sql("url")
 _SAMPLES = "('http://a.example/x.pdf'), ('http://a.example/x.PDF?y=1'), ('http://a.example/x?f=b.zip'), ('http://a.example/x?f=b%2Ezip'), ('http://a.example/x%2Epng'), ('http://a.example/x.html'), ('http://a.example/pdf'), ('http://a.example/?q=.tar.gz')"
 _SUFFIX = "(?i)(?:" + "|".join(s.replace(".", r"\.") for s in urls.IGNORED_SUFFIXES) + ")$"
 
@@ -245,19 +277,23 @@ _HEADS = f"list_transform(regexp_extract_all({sql.without_code('body')}, '(?is)<
 
 _HELD = " , ".join(f"regexp_extract_all(m, {_Q(p)}, 1)" for p in sql.HOLDERS)
 _LONGEST = f"list_transform(flatten([{_HELD}]), lambda x: {sql.clean(sql.pieces('x', ' '))})"
-_PORT = f"case when {_part('url', 3)} = '' or (lower({_part('url', 1)}) = 'http' and {_part('url', 3)} = '80') or (lower({_part('url', 1)}) = 'https' and {_part('url', 3)} = '443') then '' else ':' || {_part('url', 3)} end"
-_ORIGIN = f"lower({_part('url', 1)}) || '://' || lower({_part('url', 2)}) || {_PORT}"
+MAIN_TEXT = f"mm as (select docid, regexp_replace(b, {_Q(sql.BESIDE)}, ' ', 'g') as m from pb), ml as (select docid, m, {_LONGEST} as a from mm)"
+MAIN_TEXT_ROWS = f"select docid, case when len(a) > 0 then list_reduce(a, lambda x, y: case when length(y) > length(x) then y else x end) else {sql.clean(sql.pieces('m', ' '))} end as text from ml"
+_PORT = f"case when {part_sql('url', 3)} = '' or (lower({part_sql('url', 1)}) = 'http' and {part_sql('url', 3)} = '80') or (lower({part_sql('url', 1)}) = 'https' and {part_sql('url', 3)} = '443') then '' else ':' || {part_sql('url', 3)} end"
+_ORIGIN = f"lower({part_sql('url', 1)}) || '://' || lower({part_sql('url', 2)}) || {_PORT}"
 _TARGETS = ", ".join(f"({k}, {_Q(u)})" for k, u in REDIRECT_TARGETS)
 _METADATA = f"with {sql.PAGES} select %s from px"
 
 ORACLES = {
-    "main_text": f"with {sql.PAGES}, mm as (select docid, regexp_replace(b, {_Q(sql.BESIDE)}, ' ', 'g') as m from pb), ml as (select docid, m, {_LONGEST} as a from mm) select docid, case when len(a) > 0 then list_reduce(a, lambda x, y: case when length(y) > length(x) then y else x end) else {sql.clean(sql.pieces('m', ' '))} end as text from ml",
+    "tokenize_scripts": f"select text_id, unnest(range(0, len(a)))::int as pos, unnest(a) as token from (select text_id, {sql.tokens('text')} as a from (values {', '.join(f'({k}::bigint, {_Q(t)})' for k, t in enumerate(SCRIPTS))}) x(text_id, text))",
+    "valid_utf8_pages": f"select file_id, body is not null as valid, md5(body) as text_hash from page_files where body is not null union all select file_id, null, null from page_files where body is null union all select * from (values {', '.join(f'({-1 - k}::bigint, {k in (0, 4)}, md5({_Q(t)}))' for k, t in enumerate(READ))}) x",
+    "main_text": f"with {sql.PAGES}, {MAIN_TEXT} {MAIN_TEXT_ROWS}",
     "page_paragraphs": _unnest("pb", "docid", sql.paragraphs("b", ""), "paragraph").replace("select docid, unnest", f"with {sql.PAGES} select docid, unnest", 1),
     "page_metadata": _METADATA % "docid, url, title, abstract, published_date, content_hash",
     "display_metas": _METADATA % "docid, title, published_date",
     "abstracts": _METADATA % "docid, abstract",
     "content_hash": _METADATA % "docid, content_hash",
-    "page_links": f"with {sql.PAGES} select distinct docid, {_ORIGIN} || h as link from (select docid, url, unnest(regexp_extract_all(s, {_Q('(?is)<a' + chr(92) + 'b[^>]*href=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)', )}, 1)) as h from pg) where {_part('url', 2)} <> ''",
+    "page_links": f"with {sql.PAGES} select distinct docid, {_ORIGIN} || h as link from (select docid, url, unnest(regexp_extract_all(s, {_Q('(?is)<a' + chr(92) + 'b[^>]*href=[' + chr(34) + chr(39) + ']([^' + chr(34) + chr(39) + ']*)', )}, 1)) as h from pg) where {part_sql('url', 2)} <> ''",
     "redirect_links": f"select k::bigint as docid, target from (values {_TARGETS}) x(k, target)",
     "redirect_prefilter": f"select file_id as docid from page_files where regexp_matches(lower(body), 'location\\.(href|replace)|http-equiv') union all select unnest({[k for k, _ in REDIRECT_PAGES]})::bigint",
     "scan_docs": "select docid, url, file from doc_map",
@@ -281,9 +317,10 @@ ORACLES = {
     "sentences": _unnest("documents", "doc_id", sql.sentences("text"), "sentence"),
     "dedup_sentences": f"select d.doc_id, case when d.text is null then null else coalesce(string_agg(s, chr(10) order by pos), '') end as text from documents d left join (select doc_id, s, pos from (select doc_id, unnest(a) as s, unnest(range(0, len(a))) as pos from (select doc_id, {sql.sentences('text')} as a from documents)) qualify row_number() over (partition by doc_id, replace({sql.fold('s')}, ' ', '') order by pos) = 1) x using (doc_id) group by d.doc_id, d.text",
     "query_entities": "select record_no, unnest(list_distinct(list_concat(regexp_extract_all(title, '((?:19|20)\\d{2})', 1), regexp_extract_all(title, '([\\x{4e00}-\\x{9fff}](?:老师|教授))', 1)))) as entity from page_metadata where title is not null",
+    "highlight": f"with r as (select result_id, title, list_sort(list_distinct(list_filter(string_split({sql.clean('q.text')}, ' '), lambda x: x <> ''))) as ws from search_results s join queries q using (query_id)), p as (select result_id, title, array_to_string(list_transform(list_sort(list_transform(ws, lambda w: (-length(w), w))), lambda t: regexp_replace(t[2], '([\\\\.\\[\\]{{}}()*+?^$|])', '\\\\\\1', 'g')), '|') as pat from r) select result_id, replace(replace(replace(replace(replace(replace(replace(case when pat = '' then title else regexp_replace(title, '(' || pat || ')', chr(1) || '\\1' || chr(2), 'gi') end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '', '&#39;'), '\"', '&#34;'), chr(1), '<mark>'), chr(2), '</mark>') as html from p",
     "present_results": "with m as (select url, title, abstract from page_metadata qualify row_number() over (partition by url order by record_no desc) = 1) select result_id, query_id, rank_no, r.url, coalesce(m.title, r.url) as title, coalesce(m.abstract, '') as abstract from search_results r left join m on m.url = r.url",
-    "canonical_urls": f"select docid, case when {_part('url', 2)} <> '' then lower({_part('url', 1)}) || '://' || lower({_part('url', 2)}) || case when {_part('url', 3)} = '' or (lower({_part('url', 1)}) = 'http' and {_part('url', 3)} = '80') or (lower({_part('url', 1)}) = 'https' and {_part('url', 3)} = '443') then '' else ':' || {_part('url', 3)} end || case when length(pp) > 1 then regexp_replace(pp, '/$', '') else pp end || case when len(a) > 0 then '?' || array_to_string(list_sort(a), '&') else '' end end as canonical from (select docid, url, regexp_replace(regexp_replace({_part('url', 4)}, '/{{2,}}', '/', 'g'), '/index\\.html$', '') as pp, list_filter(string_split({_part('url', 5)}, '&'), lambda x: x <> '') as a from doc_map)",
-    "ignored_files": f"select url, regexp_matches(url_decode({_part('url', 4)}), {_Q(_SUFFIX)}) or len(list_filter(string_split({_part('url', 5)}, '&'), lambda p: regexp_matches(url_decode(regexp_extract(p, '=(.*)$', 1)), {_Q(_SUFFIX)}))) > 0 as ignored from (select url from doc_map union all select * from (values {_SAMPLES}) x(url))",
-    "url_priority": f"select docid, (case when lower({_part('url', 1)}) = 'https' then 1 else 0 end + case when {_part('url', 5)} = '' then 1 else 0 end - len(list_filter(string_split({_part('url', 4)}, '/'), lambda x: x <> '')) + case when {_part('url', 4)} in ('', '/') then 2 else 0 end)::bigint as priority from doc_map",
+    "canonical_urls": f"select docid, case when {part_sql('url', 2)} <> '' then lower({part_sql('url', 1)}) || '://' || lower({part_sql('url', 2)}) || case when {part_sql('url', 3)} = '' or (lower({part_sql('url', 1)}) = 'http' and {part_sql('url', 3)} = '80') or (lower({part_sql('url', 1)}) = 'https' and {part_sql('url', 3)} = '443') then '' else ':' || {part_sql('url', 3)} end || case when length(pp) > 1 then regexp_replace(pp, '/$', '') else pp end || case when len(a) > 0 then '?' || array_to_string(list_sort(a), '&') else '' end end as canonical from (select docid, url, regexp_replace(regexp_replace({part_sql('url', 4)}, '/{{2,}}', '/', 'g'), '/index\\.html$', '') as pp, list_filter(string_split({part_sql('url', 5)}, '&'), lambda x: x <> '') as a from doc_map)",
+    "ignored_files": f"select url, regexp_matches(url_decode({part_sql('url', 4)}), {_Q(_SUFFIX)}) or len(list_filter(string_split({part_sql('url', 5)}, '&'), lambda p: regexp_matches(url_decode(regexp_extract(p, '=(.*)$', 1)), {_Q(_SUFFIX)}))) > 0 as ignored from (select url from doc_map union all select * from (values {_SAMPLES}) x(url))",
+    "url_priority": f"select docid, (case when lower({part_sql('url', 1)}) = 'https' then 1 else 0 end + case when {part_sql('url', 5)} = '' then 1 else 0 end - len(list_filter(string_split({part_sql('url', 4)}, '/'), lambda x: x <> '')) + case when {part_sql('url', 4)} in ('', '/') then 2 else 0 end)::bigint as priority from doc_map",
     "host_counts": f"select {_HOST} as host, count(*) as n from url_index group by 1",
 }

@@ -24,16 +24,24 @@ def build_session(app: str = "wherry", cpus: int | str = "*", **conf: str) -> Sp
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session for data cut from its lineage: inside the one of ``spark.checkpoint.dir``.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder is taken, so that on a cluster the copy
-    always lies in storage that outlives an executor.
+    Only a local session without that setting (tests) gets a temporary folder; on a
+    cluster a folder of one machine would be lost with it, so there the lack is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="wherry-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        given = context.getConf().get("spark.checkpoint.dir")
+        if given is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="wherry-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write ``df`` to :func:`shared_folder` and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.functions import urls
@@ -24,18 +28,40 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(F.trim("value")).alias("word")).where("word <> ''").distinct()
 
 
-def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, html`` of all page files; bytes that are no UTF-8 are read as GB 18030."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(folder)
-    plain = F.col("content").cast("string")
+_CHARSET = re.compile(rb"""<meta[^>]{0,200}?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]{1,40})""", re.I)
+
+
+def decode_page(page: bytes) -> str:
+    """Text of a page's bytes: by byte-order mark, UTF-8, the charset a meta element names in the first 1,024 bytes, else GB 18030; bad bytes are replaced."""
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
+        if page.startswith(mark):
+            return page[len(mark) :].decode(name, "replace")
+    named = _CHARSET.search(page[:1024])
+    for name in ("utf-8", named[1].decode() if named else "gb18030"):
+        try:
+            return page.decode({"gb2312": "gb18030", "gbk": "gb18030"}.get(name.lower(), name))
+        except (UnicodeDecodeError, LookupError):
+            continue
+    return page.decode("gb18030", "replace")
+
+
+def decoded(content: Column) -> Column:
+    """:func:`decode_page` of a binary column; bytes that are UTF-8 (without mark) never leave the JVM's reach as such."""
 
     @F.pandas_udf("string")
     def other(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda b: None if b is None else bytes(b).decode("gb18030", "replace"))
+        return pages.map(lambda b: None if b is None else decode_page(bytes(b)))
+
+    return other(content)
 
-    valid = files.select("path", "content", F.is_valid_utf8(plain).alias("ok"))
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, html`` of all page files; bytes that are no UTF-8 are read by :func:`decode_page`."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.html").load(folder)
+    plain = F.col("content").cast("string")
+    valid = files.select("path", "content", (F.is_valid_utf8(plain) & (F.hex(F.substring("content", 1, 3)) != "EFBBBF")).alias("ok"))
     good = valid.where("ok").select("path", plain.alias("html"))
-    return good.unionByName(valid.where("not ok").select("path", other("content").alias("html")))
+    return good.unionByName(valid.where("not ok").select("path", decoded(F.col("content")).alias("html")))
 
 
 def page_path(url) -> F.Column:
@@ -55,11 +81,35 @@ def write_index(tables: dict[str, DataFrame], path: str) -> None:
         out.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A hash of the names, sizes and times of all files under ``paths``: changes when any of them does."""
+    seen = hashlib.sha256()
+    for path in paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = there.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(there, True)
+        rows = []
+        while files.hasNext():
+            f = files.next()
+            rows.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        seen.update(repr(sorted(rows)).encode())
+    return seen.hexdigest()[:24]
+
+
 def load_or_build(spark: SparkSession, path: str, names: list[str], build, remake: bool = False) -> dict[str, DataFrame]:
-    """The index tables of ``path``; built and written first if one is missing or ``remake`` is set."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = all(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")) for n in names)
-    if remake or not done:
-        write_index(build(), path)
+    """The index tables of ``path``; first written by ``build(folder)`` if one is missing or ``remake`` is set.
+
+    A new index is written beside and moved into place, so readers see a whole one or none.
+    """
+    if remake or not all(exists(spark, f"{path}/{n}/_SUCCESS") for n in names):
+        beside = f"{path}.{uuid.uuid4().hex}"
+        build(beside)
+        old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside))
+        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(old, True)
+        fs.rename(new, old)
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
