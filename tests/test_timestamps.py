@@ -77,3 +77,14 @@ def test_empty_and_extra_columns(spark, extra):
     records = spark.createDataFrame([], "record_no long, url string, published_date string, extracted_at timestamp" + ", tz string, host string" * extra)
     sites = spark.createDataFrame([(None, None, None), ("A.example", "Nowhere", "ymd")], "host string, tz string, date_order string")
     assert normalise_published(records, sites).collect() == []
+
+
+def test_offsets_of_other_records_tell_the_zone(spark):
+    from wherry.operators.zones import estimate_zones
+
+    rows = [("h", f"2019-0{m}-10 08:00:00{z}", "2024-01-01 00:00:00") for m, z in ((1, "-05:00"), (7, "-04:00"), (3, "Z"), (2, ""))] + [("i", "2020-05-01 08:00:00 Asia/Tokyo", "2024-01-01 00:00:00"), ("j", "no date", "2024-01-01 00:00:00"), (None, "2020-05-01", None)]
+    df = spark.createDataFrame(rows, "host string, local_text string, seen string").selectExpr("host", "local_text", "cast(seen as timestamp) as seen_at")
+    assert {r["host"]: r["zone"] for r in estimate_zones(df).collect()} == {"h": "America/New_York", "i": "Asia/Tokyo"}
+    # Records that would be published after they were seen rule zones out where nothing else does.
+    late = spark.createDataFrame([("k", "2020-05-01 08:00:00", "2020-05-01 00:10:00"), ("k", "2020-06-01 08:00:00", "2020-06-01 00:00:30")], "host string, local_text string, seen string").selectExpr("host", "local_text", "cast(seen as timestamp) as seen_at")
+    assert [(r["zone"], r["violations"]) for r in estimate_zones(late).collect()] == [("Asia/Shanghai", 0)]

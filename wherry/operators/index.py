@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wherry.functions.text import STOPWORDS, tokens
 from wherry.sources.jsonl import write_index
 from wherry.operators.skew import hot_threshold, join_by_frequency
-from wherry.session import checkpoint
+from wherry.session import checkpoint, written
 
 #: Weight of a term's occurrence in each field.
 FIELD_WEIGHTS = {"title": 3, "heading": 2, "body": 1}
@@ -61,7 +61,7 @@ def build(docs: DataFrame, path: str, n_docs: int) -> None:
     committed as a whole, so an index with its last table is complete.
     """
     spark = docs.sparkSession
-    raw = checkpoint(postings(docs))
+    raw = written(postings(docs))
     terms = term_statistics(raw, n_docs)
     write_index({"terms": terms, "postings": weigh(raw, terms, raw.count())}, path)
     write_index({"docs": docs.join(norms(docs, spark.read.parquet(f"{path}/postings")), "docid")}, path)

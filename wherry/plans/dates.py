@@ -23,4 +23,17 @@ def p7_zone_estimates(spark: SparkSession, folder: str) -> DataFrame:
     return estimate_zones(rows)
 
 
-QUERIES = {"p7_found": p7_found, "p7_zone_estimates": p7_zone_estimates}
+def p7_zone_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """``host, records, agreeing``: of every site, held out as if ``sites`` lacked it, how many zoneless records get the same instant by the estimated zone."""
+    records = table(spark, folder, "page_metadata", "record_no", "url", "published_date", "extracted_at")
+    sites = table(spark, folder, "sites")
+    unknown = sites.select("host", F.lit(None).cast("string").alias("tz"), "date_order")
+    guessed = p7_zone_estimates(spark, folder).select("host", F.col("zone").alias("tz"))
+    held_out = unknown.drop("tz").join(guessed, "host")
+    both = [normalise_published(records, s, fill_zone=False).dropDuplicates(["record_no"]).withColumnRenamed("published_at", name) for s, name in ((sites, "true_at"), (held_out, "found_at"))]
+    hosts = records.select("record_no", url_host(F.col("url")).alias("host")).join(sites.select(F.lower("host").alias("host")).distinct(), "host")
+    joined = both[0].join(both[1], "record_no").join(hosts, "record_no")
+    return joined.groupBy("host").agg(F.count("*").alias("records"), F.count_if(F.col("true_at") == F.col("found_at")).alias("agreeing"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_zone_estimates": p7_zone_estimates, "p7_zone_accuracy": p7_zone_accuracy}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,6 +47,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in :func:`shared_folder`: like :func:`checkpoint`, but compressed, and read by column.
+
+    The tables of a session are deleted when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not getattr(spark.sparkContext, "_wherry_written", False):
+        spark.sparkContext._wherry_written = True
+        atexit.register(_forget, spark, f"{shared_folder(spark)}/written")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    except Exception:  # the session has ended already; the folder's owner clears it
+        return
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per session, so that Python workers find it wherever they run."""
     context = spark.sparkContext
