@@ -57,6 +57,26 @@ _NEUTRAL = re.compile(
 )
 
 
+# Of what messages speak, what they say of it, and the words around.
+_THINGS = r"pages?|sites?|websites?|apps?|applications?|resources?|urls?|address(?:es)?|links?|files?|documents?|articles?|sessions?|login|tokens?|requests?|connections?|servers?|services?|databases?|queries|gateways?|hosts?|content|页面|网页|网站|站点|应用|程序|资源|地址|链接|文件|文档|文章|栏目|内容|信息|会话|登录状态|令牌|请求|连接|服务器|服务|数据库|网关|主机|系统|接口|权限|账号"
+_STATES = r"not found|(?:could|can) ?(?:not|n't|’t) be (?:located|found|reached|loaded|opened|displayed|processed|completed|established)|(?:can|could) ?(?:not|n't|’t) (?:find|reach|load|open|connect|display|process|complete|locate)|unable to (?:find|reach|load|open|connect|display|process|complete|locate)|does ?(?:not|n't) exist|no longer (?:exists?|available)|(?:has |have )?(?:expired|failed|timed out|been (?:removed|moved|deleted|blocked|suspended|reset|closed|refused|denied))|unavailable|missing|denied|forbidden|unauthori[sz]ed|refused|overloaded|errors?|exceptions?|went wrong|已?(?:经)?(?:过期|失效|超时|失败|中断|断开|拒绝|删除|移除|下线|关闭|丢失|损坏|不存在|不可用|找不到|未找到)|不存在|不可用|未能?(?:找到|完成|响应|加载)|无法(?:找到|打开|访问|连接|显示|加载|处理|完成|响应)|找不到|打不开|连接不上|没有(?:权限|响应)|无权(?:访问|限)?|错误|异常|出错|故障|繁忙"
+_AROUND = r"the|this|that|an?|you|your|we|our|it|its|is|was|are|were|has|have|been|be|to|on|at|in|of|for|from|by|or|and|please|sorry|oops|again|later|try|trying|log|sign|in(?:to)?|back|go|return|home|contact|administrator|admin|webmaster|check|refresh|reload|requested|request(?:ing)?|looking|access(?:ed)?|visit(?:ed)?|code|id|http|status|internal|unexpected|unknown|temporarily|currently|an?|抱歉|对不起|很遗憾|非常|您|你|我们|该|此|本|当前|所|的|了|已|被|请|重新|登录|重试|再试|刷新|稍后|返回|首页|联系|管理员|客服|检查|网络|访问|请求|查看|浏览|打开|或|和|与|并|后|可能|由于|因|发生|出现|内部|未知|临时|暂时|代码|编号|状态"
+_SCRIPTS = r"java ?scripts?|js|scripts?|scripting|client.?side|脚本"
+_NEEDS = r"enabled?|enabling|activated?|allow(?:ed)?|turn(?:ed)? (?:on|off)|switch(?:ed)? (?:on|off)|requires?|required|needs?|must|without|disabled|blocked|supports?|supported|(?:does|do|can|will) ?(?:not|n't|’t) (?:run|work|start|load|function)|cannot (?:run|work|start|load|function)|启用|打开|开启|允许|激活|需要|必须|须|才能|禁用|关闭|拦截|不支持|支持|未检测到|检测到|依赖|要求"
+_USES = r"browsers?|浏览器|properly|correctly|run|runs|work|works|start|starts|use|using|view|continue|运行|使用|正常|继续|功能|设置|中|后|以"
+
+
+def _says_only(low: str, things: str, states: str, around: str, most: float = 0.15) -> bool:
+    """Whether a lower-case message holds a thing and a state, and little else than words that go with them."""
+    if len(low) > 120 or not (found := re.search(states, low)):
+        return False
+    rest = low[: found.start()] + " " + low[found.end() :]
+    if not re.search(rf"(?<![a-z])(?:{things})(?![a-z])", rest):
+        return False
+    rest = re.sub(rf"(?<![a-z])(?:{states}|{things}|{around})(?![a-z])", " ", low)
+    return len(re.findall(r"[^\W\d_]", rest)) <= most * len(re.findall(r"[^\W\d_]", low))
+
+
 def plain(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).split())
 
@@ -85,8 +105,10 @@ def _segment_kind(s: str) -> str:
         return "filler"
     if _ERROR.match(low):
         return "error"
-    if _SCRIPT.search(low):
+    if _SCRIPT.search(low) or _says_only(low, _SCRIPTS, _NEEDS, f"{_USES}|{_THINGS}|{_AROUND}"):
         return "script"
+    if _says_only(low, _THINGS, _STATES, _AROUND):
+        return "error"
     return "neutral" if _NEUTRAL.match(low) else "content"
 
 
