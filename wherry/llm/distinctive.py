@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherry.operators.skew import hot_threshold, join_by_frequency
+from wherry.session import written
 
 # Coefficients of the Lanczos approximation with g = 7.
 _LANCZOS = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7]
@@ -53,11 +54,12 @@ def term_scores(postings: DataFrame, enrichment: bool = True, hot_rows: int | No
     often by chance. Repeated rows count once; of differing rows of one record and
     term the greatest values hold; a missing weighted_tf is the tf. Rows with null
     docid or term are left out; a tf below 1 (or null without weighted_tf) has score
-    null. One shuffle by record, one small one by term (partial counts), and a join
+    null. The distinct rows are written once, as counts, totals and scores all read
+    them: one shuffle by record, one small one by term (partial counts), and a join
     in which frequent terms are broadcast and the rest is shuffled.
     """
     rows = postings.where(F.col("docid").isNotNull() & F.col("term").isNotNull()).select("docid", "term", "tf", F.coalesce("weighted_tf", "tf").alias("weighted_tf"))
-    unique = rows.repartition("docid").groupBy("docid", "term").agg(F.max("tf").alias("tf"), F.max("weighted_tf").alias("weighted_tf"))
+    unique = written(rows.repartition("docid").groupBy("docid", "term").agg(F.max("tf").alias("tf"), F.max("weighted_tf").alias("weighted_tf")))
     by_doc = Window.partitionBy("docid")
     sized = unique.withColumn("n_tokens", F.sum("tf").over(by_doc))
     terms = unique.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
