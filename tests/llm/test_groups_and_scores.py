@@ -43,10 +43,23 @@ def test_repeated_lines_by_brute_force(spark):
                 if key:
                     counts[host, key].add(page)
     assert got == {k for k, v in counts.items() if len(v) >= 5 and len(v) >= 0.05 * sizes[k[0]]}
-    cleaned = repeated_lines.without_lines(spark.createDataFrame([("h", "p", "a\nB 1\nc")], "host string, page string, content string"), spark.createDataFrame([("h", "b0")], "host string, line_key string"))
+    cleaned = repeated_lines.without_lines(spark.createDataFrame([("h", "p", "a\nB 1\nc")], "host string, page string, content string"), spark.createDataFrame([("h", "b0", 1)], "host string, line_key string, n_pages long"))
     assert cleaned.first()["cleaned"] == "a\nc"
 
 
+def test_near_duplicate_lines_are_removed_together(spark):
+    words = [f"{a}{b}" for a in "潮汐藻鲮蕨" for b in "测渠坝村湾岭数读"]
+    lines = [f"{words[k]}。独有的第{words[-k - 1]}句话" for k in range(40)]
+    pages = [("h", f"u{k}", f"{lines[k]}\n本网讯 通讯员来自学生会办公室第{'甲乙丙丁戊己庚辛壬癸'[k % 10]}组的同学供稿\n") for k in range(40)]
+    pages += [(None, "x", "a"), ("h", "none", None), ("other", "o", lines[0])]
+    df = spark.createDataFrame(pages, "host string, page string, content string")
+    assert repeated_lines.excessive_lines(df, 5, 0.2).count() == 0  # no line alone is found in a fifth of the pages
+    clusters = repeated_lines.excessive_clusters(df, 5, 0.2).collect()
+    assert len(clusters) == 10 and {r["cluster_pages"] for r in clusters} == {40} and len({r["leader"] for r in clusters}) == 1
+    cleaned = {r["page"]: r["cleaned"] for r in repeated_lines.without_lines(df, repeated_lines.excessive_clusters(df, 5, 0.2)).collect()}
+    assert all(cleaned[f"u{k}"] == lines[k] + "\n" for k in range(40)) and cleaned["x"] == "a" and cleaned["none"] is None and len(cleaned) == 43
+
+
 def test_hypergeometric_against_sums():
     for k, n, hits, total in ((1, 5, 7, 50), (3, 10, 10, 40), (0, 5, 5, 20), (5, 5, 5, 30), (2, 30, 4, 33)):
         exact = sum(math.comb(hits, i) * math.comb(total - hits, n - i) for i in range(max(k, 0), min(n, hits) + 1) if total - hits >= n - i) / math.comb(total, n)
@@ -85,13 +98,16 @@ def test_pack_table(spark):
         room[r["shard"], r["container_no"]] += r["n_tokens"]
         per[r["doc_id"]] += r["n_tokens"]
     assert max(room.values()) <= 100 and {r["doc_id"] for r in got if r["piece"] > 0} == {4}
+    shares = packing.fill(packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), [("k", 100), ("l", 50)])).collect()
+    assert {r["kind"]: r["n_tokens"] for r in shares} == {"k": 657, "l": 657} and all(0 < r["share"] <= 1 for r in shares)
+    assert packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), []).count() == 0
     assert per == Counter({0: 50, 1: 50, 2: 100, 3: 0, 4: 250, 5: 99, 6: 1, 7: 7, 51: 100})
 
 
 def test_real_tokenizer_counts(spark):
     P = pytest.importorskip("public_tokenizers")
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "学生会 <|endoftext|>")], "doc_id long, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df, P.path("byte_bpe_50k.tiktoken")).collect()}
+    got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()}
     assert got[1] == 2 and got[2] is None and got[3] > 3
 
 

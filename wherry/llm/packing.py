@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that one task packs together; bounds a group whatever the input.
-SHARD_ROWS = 25_000
+SHARD_ROWS = 100_000
+#: Tasks of a packing at most, so that small shards don't each need one.
+MAX_TASKS = 20_000
 _SCHEMA = "kind string, capacity long, shard int, container_no long, doc_id long, piece int, offset long, n_tokens long"
 
 
@@ -121,7 +123,7 @@ def _pack_shard(capacities: list[tuple[str, int]]) -> Callable[[tuple, pd.DataFr
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "n_tokens"])
         out = []
-        for kind, capacity in capacities:
+        for kind, capacity in [capacities[int(key[1])]]:
             whole: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
             no = 0
             for doc, n in zip(rows["doc_id"].tolist(), rows["n_tokens"].tolist(), strict=True):
@@ -156,32 +158,46 @@ def pack(sized: DataFrame, containers: list[tuple[str, int]], shard_rows: int =
     per shard and kind stays badly filled. Null sizes are left out, empty items
     lie in container 0 without room, repeated rows are items of their own.
     """
+    if not containers:
+        return sized.sparkSession.createDataFrame([], _SCHEMA)
     rows = sized.where(F.col("doc_id").isNotNull() & (F.col("n_tokens") >= 0)).select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"))
     shards = max(1, -(-rows.count() // shard_rows))
     keyed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    return keyed.groupBy("shard").applyInPandas(_pack_shard(containers), _SCHEMA)
+    # Every kind packs the items anew, so shards and kinds are worked on side by side; a number of partitions given is not merged.
+    per_kind = keyed.withColumn("_k", F.explode(F.array(*map(F.lit, range(len(containers))))))
+    spread = per_kind.repartition(max(1, min(shards * len(containers), MAX_TASKS)), "shard", "_k")
+    return spread.groupBy("shard", "_k").applyInPandas(_pack_shard(containers), _SCHEMA)
+
+
+def fill(pieces: DataFrame) -> DataFrame:
+    """``kind, capacity, n_containers, n_tokens, share`` of the containers of :func:`pack`: how much of their room is used."""
+    used = pieces.where("n_tokens > 0").groupBy("kind", "capacity", "shard", "container_no").agg(F.sum("n_tokens").alias("n"))
+    totals = used.groupBy("kind", "capacity").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"))
+    return totals.withColumn("share", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6))
 
 
 @cache
-def _encoder(path: str):
+def _encoder(path: str, pattern: str):
     import base64
 
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens``: UTF-8 bytes of the text, or tokens of the byte-pair vocabulary file ``tokenizer`` (a .tiktoken path). Null for a null text."""
+def token_counts(documents: DataFrame, tokenizer: str | None = None, pattern: str = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+|\s+") -> DataFrame:
+    """``doc_id, n_tokens``: UTF-8 bytes of the text, or tokens of the byte-pair vocabulary file ``tokenizer``, which splits text by ``pattern`` first. Null for a null text.
+
+    ``tokenizer`` is the path of a .tiktoken file that every executor can read.
+    """
     if tokenizer is None:
         return documents.select("doc_id", F.octet_length("text").cast("long").alias("n_tokens"))
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, pattern)
         for series in texts:
             yield pd.Series([None if t is None else len(encoder.encode_ordinary(t)) for t in series], dtype="Int64")
 

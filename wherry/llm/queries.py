@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wherry.llm import abuse, distinctive, leakage, main_content, markup, packing, repeated_lines, residue, spellings
+from wherry.functions import urls
+from wherry.llm import abuse, differencing, distinctive, leakage, main_content, markup, packing, repeated_lines, residue, spellings
+from wherry.session import written
 from wherry.sources.tables import table
 
 
@@ -57,9 +59,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Every page's content without the excessive lines of its host."""
-    pages = repeated_lines.site_pages(table(spark, folder, "search_results", "url", "content"))
-    return repeated_lines.without_lines(pages, repeated_lines.excessive_lines(pages)).select("host", "page", "cleaned")
+    """Every page's content without the lines of its host's excessive clusters."""
+    pages = written(repeated_lines.site_pages(table(spark, folder, "search_results", "url", "content")))
+    return repeated_lines.without_lines(pages, repeated_lines.excessive_clusters(pages)).select("host", "page", "cleaned")
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every excessive cluster, with its leader and the number of pages it is found in."""
+    pages = written(repeated_lines.site_pages(table(spark, folder, "search_results", "url", "content")))
+    return repeated_lines.excessive_clusters(pages).select("host", "leader", "line_key", "n_pages", "cluster_pages")
 
 
 def _p5_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +87,15 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).select("tbl", "row_id", "clean", F.size("elements").alias("n_elements"))
 
 
+def p5_differenced(spark: SparkSession, folder: str) -> DataFrame:
+    """The clean text of every saved page without the lines that the page of the nearest url has as well."""
+    files, _ = _p5_sources(spark, folder)
+    clean = markup.convert_all(files, "row_id", "text").select(F.col("row_id").alias("page_id"), F.col("clean").alias("text"))
+    placed = clean.join(table(spark, folder, "doc_map", "docid", "url").withColumnRenamed("docid", "page_id"), "page_id")
+    path = F.concat_ws("?", urls.part(F.col("url"), 4), F.nullif(urls.part(F.col("url"), 5), F.lit("")))
+    return differencing.differenced(placed.select("page_id", urls.host(F.col("url")).alias("host"), path.alias("path"), "text"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     scores = distinctive.term_scores(table(spark, folder, "postings"), enrichment=False)
     return distinctive.top_terms(scores).select("docid", "term")
@@ -91,8 +108,10 @@ def p6_enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = [(r["kind"], int(r["capacity"])) for r in table(spark, folder, "containers").dropDuplicates(["kind"]).limit(1000).collect()]
-    return packing.pack(packing.token_counts(table(spark, folder, "documents", "doc_id", "text")), sorted(kinds))
+    """Packing into every kind; a kind listed with several capacities has the least of them."""
+    kinds = table(spark, folder, "containers", "kind", "capacity").where("kind is not null and capacity > 0").groupBy("kind").agg(F.min("capacity").alias("capacity"))
+    sized = packing.token_counts(table(spark, folder, "documents", "doc_id", "text"))
+    return packing.pack(sized, sorted((r["kind"], int(r["capacity"])) for r in kinds.collect()))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,14 +124,19 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return _p8_pieces(spark, folder)
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers of each kind are filled."""
+    return packing.fill(_p8_pieces(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text")).select("doc_id", "item_id")
 
 
 def p9_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold most of an item in order, with the share."""
-    found = leakage.paraphrases(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text"))
-    return found.withColumn("overlap", F.round("overlap", 6))
+    """Documents that hold most of an item in order, with its share and that of its answers."""
+    found = leakage.paraphrases(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "eval_items", "item_id", "text", "question"))
+    return found.withColumns({c: F.round(c, 6) for c in ("overlap", "answered")})
 
 
 def p9_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,7 +167,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_clean, p2_found, p2_articles, p3_found, p3_records, p4_found, p4_cleaned, p5_found, p5_clean, p6_found, p6_enriched,
-        p8_found, p8_pack, p9_found, p9_paraphrases, p9_items, p10_found, p10_scores, p10_rates,
+        p1_found, p1_clean, p2_found, p2_articles, p3_found, p3_records, p4_found, p4_cleaned, p4_clusters, p5_found, p5_clean, p5_differenced, p6_found, p6_enriched,
+        p8_found, p8_pack, p8_fill, p9_found, p9_paraphrases, p9_items, p10_found, p10_scores, p10_rates,
     )
 }
