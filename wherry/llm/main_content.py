@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wherry.llm.labelled_pages import PAGES
+from wherry.llm.labelled_pages import LINES
 from wherry.llm.markup import markup_kind
 
 #: Steps, rate and penalty of the fit; scores are bounded so that no long line outweighs a page.
@@ -76,10 +76,13 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def weights() -> np.ndarray:
-    """Logistic weights of character pairs, quadruples and tags, positive for the article, fitted to the labelled pages (all lines of ``PAGES``)."""
-    lines = [(x[0], x[2:]) for x in PAGES.splitlines() if x]
+def weights(of_pieces: bool = False) -> np.ndarray:
+    """Logistic weights of character pairs, quadruples and tags, positive for the article, fitted to all of ``LINES``, or to the pieces they fall into."""
+    lines = [(x[0], x[2:]) for x in LINES.splitlines() if x]
     texts = tidy_all([x for _, x in lines])
+    if of_pieces:
+        lines = [(label, p) for (label, _), t in zip(lines, texts, strict=True) for p in pieces(t)]
+        texts = [p for _, p in lines]
     places, starts = _hashed(texts)
     sizes = np.diff(np.append(starts, len(places)))
     line = np.repeat(np.arange(len(texts)), sizes)
@@ -87,24 +90,25 @@ def weights() -> np.ndarray:
     line = np.concatenate([line, [k for k, _ in tags]]).astype(np.int64)
     place = np.concatenate([places, [t for _, t in tags]]).astype(np.int64)
     used, column = np.unique(place, return_inverse=True)
-    x = np.zeros((len(texts), len(used)))
+    x = np.zeros((len(texts), len(used)), np.float32)
     np.add.at(x, (line, column), 1.0)
     x /= np.sqrt(x.sum(axis=1, keepdims=True))
     y = np.array([{"+": 1.0, "-": 0.0, "=": 0.35}[label] for label, _ in lines])
-    w = np.zeros(len(used))
+    # Gradient steps on the weights, which are sums of rows: only the rows' coefficients need to be kept.
+    gram, rows = (x @ x.T).astype(np.float64), np.zeros(len(texts))
     for _ in range(FIT_STEPS):
-        p = 1 / (1 + np.exp(-x @ w))
-        w -= RATE / len(y) * (x.T @ (p - y)) + RATE * RIDGE * w
+        p = 1 / (1 + np.exp(-gram @ rows))
+        rows -= RATE / len(y) * (p - y) + RATE * RIDGE * rows
     full = np.zeros(TABLE + TAGS)
-    full[used] = w
+    full[used] = x.T @ rows
     return full
 
 
-def scores(texts: list[str]) -> np.ndarray:
-    """Score of each tidied line: twice the sum of its weights over the root of their number, within plus or minus ``BOUND``."""
+def scores(texts: list[str], of_pieces: bool = False) -> np.ndarray:
+    """Score of each tidied line, or piece: twice the sum of its weights over the root of their number, within plus or minus ``BOUND``."""
     if not texts:
         return np.zeros(0)
-    w = weights()
+    w = weights(of_pieces)
     places, starts = _hashed(texts)
     total = np.add.reduceat(w[places], starts)
     count = np.diff(np.append(starts, len(places))).astype(float)
@@ -173,9 +177,24 @@ _PROSE = re.compile(r"[㐀-鿿]{2}|©|[a-z]{3,} [a-z]{2,} [a-z]{2,}")
 _MARKED = re.compile(r"[<>\\{}\[\]$*#=`_~+()]|^-|^0\.|-$")
 
 
-#: A Han word of an abstract standing alone with this score or less is a piece of the site.
-PIECE = -4.7
-#: Tags of pieces whose words run on in an abstract; sentences that only talk about such things lack them.
+#: A region of an abstract may be the site's own from this sum of negative scores on; this many Latin words are scored together; a Han word standing alone may be a menu's from this score down.
+REGION, WORDS, MENU = 1.0, 4, -3.5
+_BREAKS = re.compile(r"(?<=[。！？；!?])\s*|(?<=[a-z0)”\"]\.)\s*(?=[a-z©])|\s*[|»→·•›>【】\[\]]+\s*|\s+/\s+|(?<=[㐀-鿿）)0:：])\s+(?=\S)|(?<=\S)\s+(?=[㐀-鿿©【\[])|(?=©)")
+
+
+def pieces(text: str) -> list[str]:
+    """A tidied abstract, whose lines run on, cut at sentence ends, separators and gaps between Han words; long Latin pieces in steps of ``WORDS`` words."""
+    out: list[str] = []
+    for piece in _BREAKS.split(text):
+        words = piece.split(" ") if piece else []
+        if len(words) > WORDS:
+            out += [" ".join(words[k : k + WORDS]) for k in range(0, len(words), WORDS)]
+        else:
+            out.append(piece)
+    return [p for p in out if sum(map(str.isalpha, p)) > 1 or "©" in p]
+
+
+#: Marks of the site's own pieces, one of which a region must hold: words alone can't tell a breadcrumb's title from the article's.
 _PIECE_TAG = re.compile(
     r"©|版权所有(?!者|权)|版权均属|未经授权禁止转载(?!的)|^all r(?:i(?:g(?:hts?.{0,10})?)?)?$|all rights res|(?:^|[\s。！？”])(?:上|下)一[篇条页]\s?:|(?:当前|您的|所在)位置\s?:|you are here:|(?:^|[\s.])(?:previous|next):\s|you may also like|tell a friend \||follow us for"
     r"|(?:^|\s)(?:相关|推荐|热点|热门|最新)(?:新闻|阅读|文章|公告)(?:\s|$)|(?:^|\s)(?:首页|home)\s?[|>·/»]|^home(?: (?:people|alumni|contact|events|research|admissions|jobs|news)){2}|log ?in \| |登录 \||skip to content|跳到主要内容|设为首页 |分享到:|【打印|扫码关注.{1,12}公众号|[\[【]接受|cookies? to improve|cookies help us|使用cookie改善|记录cookie信息|cookies? 统计访问量|阅读次数:|位访客|(?:^|\s)views: 0|terms of use \||is not responsible for the content of ext|转载请注明来源:"
@@ -183,13 +202,25 @@ _PIECE_TAG = re.compile(
 
 
 def foreign_abstract_flags(abstracts: list[str]) -> list[bool]:
-    """For each abstract whether it holds any piece of the site: a tag of one, or Han words that score so standing alone."""
+    """For each abstract whether it holds a region of the site's own.
+
+    The region is the contiguous pieces whose negated scores add up to most: the
+    maximum-scoring subsequence turned round, as in an abstract the article is the
+    rule. It counts from ``REGION`` on, if a mark of such pieces or two words of a menu
+    bears it out.
+    """
     texts = tidy_all([a.replace("\n", " ") for a in abstracts])
-    words = [[w for w in re.findall(r"[^\s|>·/»]+", t) if 2 <= len(w) <= 8 and "\u4e00" <= w[0] <= "\u9fff"] for t in texts]
-    low, at, out = (scores([w for x in words for w in x]) <= PIECE).tolist(), 0, []
-    for text, x in zip(texts, words, strict=True):
-        out.append(bool(_PIECE_TAG.search(text)) or any(low[at : at + len(x)]))
-        at += len(x)
+    marked = [bool(_PIECE_TAG.search(t)) for t in texts]
+    cut = [pieces(t) for t in texts]
+    short = [[2 <= len(p) <= 8 and "\u4e00" <= p[0] <= "\u9fff" for p in x] for x in cut]
+    asked = [k for k, s in enumerate(short) if marked[k] or sum(s) > 1]  # no other can have a region that is borne out
+    points, at, out = (-scores([p for k in asked for p in cut[k]], True)).tolist(), 0, [False] * len(texts)
+    for k in asked:
+        own = points[at : at + len(cut[k])]
+        a, b = best_span(own)
+        words = sum(w and s >= -MENU for w, s in zip(short[k][a:b], own[a:b], strict=True))
+        out[k] = sum(own[a:b]) >= REGION and (marked[k] or words > 1)
+        at += len(own)
     return out
 
 
