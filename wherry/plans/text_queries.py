@@ -171,10 +171,29 @@ def ignored_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("url", urls.is_ignored(F.col("url")).alias("ignored"))
 
 
+#: What a question may name, as patterns whose first group is the name.
+ENTITIES = {"quoted": "[“\"]([^”\"]+)[”\"]", "year": r"((?:19|20)\d{2})", "person": "([一-鿿](?:老师|教授))", "company": "([一-鿿]{2,4}公司)"}
+
+
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entity"))
+
+
 def query_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Years and names of teachers in titles."""
-    found = F.concat(F.regexp_extract_all("title", F.lit(r"((?:19|20)\d{2})"), F.lit(1)), F.regexp_extract_all("title", F.lit("([一-鿿](?:老师|教授))"), F.lit(1)))
-    return table(spark, folder, "page_metadata").select("record_no", F.explode(F.array_distinct(found)).alias("entity"))
+    """Quoted parts, years, teachers and companies that titles and queries name, each once a text."""
+    titles = table(spark, folder, "page_metadata", "record_no", "title").select(F.lit("title").alias("of"), F.col("record_no").alias("ident"), F.col("title").alias("text"))
+    asked = table(spark, folder, "queries").select(F.lit("query").alias("of"), F.col("query_id").alias("ident"), "text")
+    found = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(1)), _named(name)) for name, p in ENTITIES.items()))
+    return titles.unionByName(asked).select("of", "ident", F.explode(F.array_distinct(found)).alias("e")).select("of", "ident", "e.kind", "e.entity")
+
+
+def build_metadata(spark: SparkSession, folder: str, path: str) -> dict[str, int]:
+    """Writes :func:`page_metadata` of all pages as JSON lines to ``path``; how many were read, and how many kept only their url because they couldn't be."""
+    from wherry.sources.jsonl import write_records
+
+    write_records(page_metadata(page_rows(spark, folder)).withColumnRenamed("docid", "docID"), path)
+    done = spark.read.schema("content_hash string").json(path).agg(F.count("content_hash").alias("ok"), F.count_if(F.col("content_hash").isNull()).alias("failed")).first()
+    return {"ok": done["ok"], "failed": done["failed"]}
 
 
 def html_content_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,7 +335,7 @@ ORACLES = {
     "chunks": _unnest("documents", "doc_id", "list_transform(range(0, length(text), 500), lambda k: substr(text, k + 1, 650))", "chunk"),
     "sentences": _unnest("documents", "doc_id", sql.sentences("text"), "sentence"),
     "dedup_sentences": f"select d.doc_id, case when d.text is null then null else coalesce(string_agg(s, chr(10) order by pos), '') end as text from documents d left join (select doc_id, s, pos from (select doc_id, unnest(a) as s, unnest(range(0, len(a))) as pos from (select doc_id, {sql.sentences('text')} as a from documents)) qualify row_number() over (partition by doc_id, replace({sql.fold('s')}, ' ', '') order by pos) = 1) x using (doc_id) group by d.doc_id, d.text",
-    "query_entities": "select record_no, unnest(list_distinct(list_concat(regexp_extract_all(title, '((?:19|20)\\d{2})', 1), regexp_extract_all(title, '([\\x{4e00}-\\x{9fff}](?:老师|教授))', 1)))) as entity from page_metadata where title is not null",
+    "query_entities": " union ".join(f"select of_ as of, ident, '{name}' as kind, unnest(regexp_extract_all(text, {_Q(p.replace('一-鿿', sql.HAN))}, 1)) as entity from (select 'title' as of_, record_no as ident, title as text from page_metadata where title is not null union all select 'query', query_id, text from queries where text is not null)" for name, p in ENTITIES.items()),
     "highlight": f"with r as (select result_id, title, list_sort(list_distinct(list_filter(string_split({sql.clean('q.text')}, ' '), lambda x: x <> ''))) as ws from search_results s join queries q using (query_id)), p as (select result_id, title, array_to_string(list_transform(list_sort(list_transform(ws, lambda w: (-length(w), w))), lambda t: regexp_replace(t[2], '([\\\\.\\[\\]{{}}()*+?^$|])', '\\\\\\1', 'g')), '|') as pat from r) select result_id, replace(replace(replace(replace(replace(replace(replace(case when pat = '' then title else regexp_replace(title, '(' || pat || ')', chr(1) || '\\1' || chr(2), 'gi') end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '', '&#39;'), '\"', '&#34;'), chr(1), '<mark>'), chr(2), '</mark>') as html from p",
     "present_results": "with m as (select url, title, abstract from page_metadata qualify row_number() over (partition by url order by record_no desc) = 1) select result_id, query_id, rank_no, r.url, coalesce(m.title, r.url) as title, coalesce(m.abstract, '') as abstract from search_results r left join m on m.url = r.url",
     "canonical_urls": f"select docid, case when {part_sql('url', 2)} <> '' then lower({part_sql('url', 1)}) || '://' || lower({part_sql('url', 2)}) || case when {part_sql('url', 3)} = '' or (lower({part_sql('url', 1)}) = 'http' and {part_sql('url', 3)} = '80') or (lower({part_sql('url', 1)}) = 'https' and {part_sql('url', 3)} = '443') then '' else ':' || {part_sql('url', 3)} end || case when length(pp) > 1 then regexp_replace(pp, '/$', '') else pp end || case when len(a) > 0 then '?' || array_to_string(list_sort(a), '&') else '' end end as canonical from (select docid, url, regexp_replace(regexp_replace({part_sql('url', 4)}, '/{{2,}}', '/', 'g'), '/index\\.html$', '') as pp, list_filter(string_split({part_sql('url', 5)}, '&'), lambda x: x <> '') as a from doc_map)",
