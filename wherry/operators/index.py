@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wherry.functions.text import STOPWORDS, tokens
 from wherry.sources.jsonl import write_index
 from wherry.operators.skew import hot_threshold, join_by_frequency
-from wherry.session import checkpoint, written
+from wherry.session import checkpoint, forget_shuffles, written
 
 #: Weight of a term's occurrence in each field.
 FIELD_WEIGHTS = {"title": 3, "heading": 2, "body": 1}
@@ -63,8 +63,11 @@ def build(docs: DataFrame, path: str, n_docs: int) -> None:
     spark = docs.sparkSession
     raw = written(postings(docs))
     terms = term_statistics(raw, n_docs)
-    write_index({"terms": terms, "postings": weigh(raw, terms, raw.count())}, path)
+    write_index({"terms": terms}, path)
+    write_index({"postings": weigh(raw, spark.read.parquet(f"{path}/terms"), raw.count())}, path)
+    forget_shuffles(spark)
     write_index({"docs": docs.join(norms(docs, spark.read.parquet(f"{path}/postings")), "docid")}, path)
+    forget_shuffles(spark)
 
 
 def term_statistics(index: DataFrame, n_docs: int) -> DataFrame:

@@ -47,6 +47,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Has Spark's cleaner delete the shuffle files of plans that nothing refers to any more, such as those of a table just written; else they stay until the driver happens to collect its garbage."""
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in :func:`shared_folder`: like :func:`checkpoint`, but compressed, and read by column.
 
@@ -55,6 +60,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_shuffles(spark)
     if not getattr(spark.sparkContext, "_wherry_written", False):
         spark.sparkContext._wherry_written = True
         atexit.register(_forget, spark, f"{shared_folder(spark)}/written")
