@@ -39,26 +39,18 @@ def is_ignored(url: Column) -> Column:
     return F.coalesce(F.try_url_decode(part(url, 4)), part(url, 4)).rlike(_SUFFIX) | F.exists(values, lambda v: v.rlike(_SUFFIX))
 
 
+def _form(text: Column) -> Column:
+    """A name or value of a query decoded and encoded again, so that every spelling becomes one; text with bad escapes stays."""
+    plain = F.try_url_decode(text)
+    return F.when(plain.isNull() | plain.contains("\ufffd"), text).otherwise(F.replace(F.replace(F.url_encode(plain), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~")))
+
+
 def canonical(url: Column) -> Column:
-    """Key of a page: lower-case scheme and host, no default port, single slashes, no final index.html or slash, sorted parameters, no fragment."""
+    """Key of a page: lower-case scheme and host, no user, default port or fragment, single slashes, no final index.html or slash, parameters encoded in one way and sorted, one without ``=`` as an empty one."""
     scheme, port = F.lower(part(url, 1)), part(url, 3)
     shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
     path = F.regexp_replace(F.regexp_replace(part(url, 4), "/{2,}", "/"), "/index\\.html$", "")
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    pairs = F.array_sort(F.filter(F.split(part(url, 5), "&"), lambda p: p != ""))
-    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+    pairs = F.transform(F.filter(F.split(part(url, 5), "&"), lambda p: p != ""), lambda p: F.concat(_form(F.substring_index(p, "=", 1)), F.lit("="), _form(F.regexp_extract(p, "=(.*)$", 1))))
+    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(F.array_sort(pairs), "&"))).otherwise("")
     return F.when(part(url, 2) != "", F.concat(scheme, F.lit("://"), F.lower(part(url, 2)), shown, path, query))
-
-
-def resolve(href: Column, base: Column) -> Column:
-    """Absolute url of a link: absolute, scheme-relative, root-relative and simple relative ones; null for others and for hosts with a percent sign."""
-    link = F.regexp_replace(F.trim(href), "#.*$", "")
-    origin = F.concat(F.lower(part(base, 1)), F.lit("://"), F.lower(part(base, 2)), F.when(part(base, 3) != "", F.concat(F.lit(":"), part(base, 3))).otherwise(""))
-    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(part(base, 4), "[^/]*$", ""), "^/", ""))
-    full = (
-        F.when(link.rlike("^(?i)https?://"), link)
-        .when(link.startswith("//"), F.concat(F.lower(part(base, 1)), F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
-        .when((link != "") & ~link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") & ~link.contains("..") & ~link.startswith("?"), F.concat(origin, folder, F.regexp_replace(link, r"^\./", "")))
-    )
-    return F.when((part(full, 2) != "") & ~part(full, 2).contains("%"), full)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +35,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("docid", "url", "title", F.coalesce("headings", F.array().cast("array<string>")).alias("headings"), F.col("abstract").alias("body"), "published_date", "content_hash")
 
 
+@cache
+def _code_version() -> str:
+    """A hash of the code that an index depends on."""
+    root = Path(__file__).resolve().parents[1]
+    files = [*sorted((root / "functions").glob("*.py")), root / "operators/index.py", Path(__file__)]
+    return hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:8]
+
+
 def index_path(spark: SparkSession, folder: str) -> str:
-    """Where the index of these very tables lies: under the shared folder, named by a hash of their files."""
+    """Where the index that this code makes of these very tables lies: under the shared folder, named by hashes of both."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or shared_folder(spark)
-    return f"{base}/wherry-index/{jsonl.fingerprint(spark, [f'{folder}/{t}.parquet' for t in ('page_metadata', 'page_files', 'doc_map')])}"
+    tables = jsonl.fingerprint(spark, [f"{folder}/{t}.parquet" for t in ("page_metadata", "page_files", "doc_map")])
+    return f"{base}/wherry-index/{tables}-{_code_version()}"
 
 
 class Engine:

@@ -287,6 +287,10 @@ _SAMPLES = "('http://a.example/x.pdf'), ('http://a.example/x.PDF?y=1'), ('http:/
 _SUFFIX = "(?i)(?:" + "|".join(s.replace(".", r"\.") for s in urls.IGNORED_SUFFIXES) + ")$"
 
 
+def _form_sql(x: str) -> str:
+    return f"replace(url_encode(url_decode(replace({x}, '+', ' '))), '%20', '+')"
+
+
 def _unnest(table_name: str, key: str, array: str, item: str) -> str:
     return f"select {key}, unnest(range(0, len(a)))::int as pos, unnest(a) as {item} from (select {key}, {array} as a from {table_name})"
 
@@ -338,7 +342,7 @@ ORACLES = {
     "query_entities": " union ".join(f"select of_ as of, ident, '{name}' as kind, unnest(regexp_extract_all(text, {_Q(p.replace('一-鿿', sql.HAN))}, 1)) as entity from (select 'title' as of_, record_no as ident, title as text from page_metadata where title is not null union all select 'query', query_id, text from queries where text is not null)" for name, p in ENTITIES.items()),
     "highlight": f"with r as (select result_id, title, list_sort(list_distinct(list_filter(string_split({sql.clean('q.text')}, ' '), lambda x: x <> ''))) as ws from search_results s join queries q using (query_id)), p as (select result_id, title, array_to_string(list_transform(list_sort(list_transform(ws, lambda w: (-length(w), w))), lambda t: regexp_replace(t[2], '([\\\\.\\[\\]{{}}()*+?^$|])', '\\\\\\1', 'g')), '|') as pat from r) select result_id, replace(replace(replace(replace(replace(replace(replace(case when pat = '' then title else regexp_replace(title, '(' || pat || ')', chr(1) || '\\1' || chr(2), 'gi') end, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '', '&#39;'), '\"', '&#34;'), chr(1), '<mark>'), chr(2), '</mark>') as html from p",
     "present_results": "with m as (select url, title, abstract from page_metadata qualify row_number() over (partition by url order by record_no desc) = 1) select result_id, query_id, rank_no, r.url, coalesce(m.title, r.url) as title, coalesce(m.abstract, '') as abstract from search_results r left join m on m.url = r.url",
-    "canonical_urls": f"select docid, case when {part_sql('url', 2)} <> '' then lower({part_sql('url', 1)}) || '://' || lower({part_sql('url', 2)}) || case when {part_sql('url', 3)} = '' or (lower({part_sql('url', 1)}) = 'http' and {part_sql('url', 3)} = '80') or (lower({part_sql('url', 1)}) = 'https' and {part_sql('url', 3)} = '443') then '' else ':' || {part_sql('url', 3)} end || case when length(pp) > 1 then regexp_replace(pp, '/$', '') else pp end || case when len(a) > 0 then '?' || array_to_string(list_sort(a), '&') else '' end end as canonical from (select docid, url, regexp_replace(regexp_replace({part_sql('url', 4)}, '/{{2,}}', '/', 'g'), '/index\\.html$', '') as pp, list_filter(string_split({part_sql('url', 5)}, '&'), lambda x: x <> '') as a from doc_map)",
+    "canonical_urls": f"select docid, case when {part_sql('url', 2)} <> '' then lower({part_sql('url', 1)}) || '://' || lower({part_sql('url', 2)}) || case when {part_sql('url', 3)} = '' or (lower({part_sql('url', 1)}) = 'http' and {part_sql('url', 3)} = '80') or (lower({part_sql('url', 1)}) = 'https' and {part_sql('url', 3)} = '443') then '' else ':' || {part_sql('url', 3)} end || case when length(pp) > 1 then regexp_replace(pp, '/$', '') else pp end || case when len(a) > 0 then '?' || array_to_string(list_sort(list_transform(a, lambda p: {_form_sql("split_part(p, '=', 1)")} || '=' || {_form_sql("regexp_extract(p, '=(.*)$', 1)")})), '&') else '' end end as canonical from (select docid, url, regexp_replace(regexp_replace({part_sql('url', 4)}, '/{{2,}}', '/', 'g'), '/index\\.html$', '') as pp, list_filter(string_split({part_sql('url', 5)}, '&'), lambda x: x <> '') as a from doc_map)",
     "ignored_files": f"select url, regexp_matches(url_decode({part_sql('url', 4)}), {_Q(_SUFFIX)}) or len(list_filter(string_split({part_sql('url', 5)}, '&'), lambda p: regexp_matches(url_decode(regexp_extract(p, '=(.*)$', 1)), {_Q(_SUFFIX)}))) > 0 as ignored from (select url from doc_map union all select * from (values {_SAMPLES}) x(url))",
     "url_priority": f"select docid, (case when lower({part_sql('url', 1)}) = 'https' then 1 else 0 end + case when {part_sql('url', 5)} = '' then 1 else 0 end - len(list_filter(string_split({part_sql('url', 4)}, '/'), lambda x: x <> '')) + case when {part_sql('url', 4)} in ('', '/') then 2 else 0 end)::bigint as priority from doc_map",
     "host_counts": f"select {_HOST} as host, count(*) as n from url_index group by 1",
