@@ -230,3 +230,19 @@ def test_metrics(spark):
     queries = spark.createDataFrame([(1,), (2,), (3,)], "query_id long")
     got = metrics.ranking_metrics(results, relevant, queries).first()
     assert got["mrr"] == pytest.approx((0.5 + 0.25) / 3, abs=1e-6) and got["hit_3"] == pytest.approx(1 / 3, abs=1e-6) and got["recall"] == pytest.approx(2 / 3, abs=1e-6)
+
+
+def test_latency_is_exact(spark):
+    rng = random.Random(5)
+    runs = [(rng.choice(["a"] * 6 + ["b", None]), rng.choice([None, rng.random() * 50, 7.0])) for _ in range(300)] + [("alone", 3.0), ("none", None)]
+    got = {r["g"]: r for r in metrics.latency(spark.createDataFrame(runs, "g string, v double").repartition(6), "g", "v").collect()}
+    for g, r in got.items():
+        values = sorted(v for k, v in runs if k == g and v is not None)
+        at = lambda p: (len(values) - 1) * p
+        want = lambda p: values[int(at(p))] + (values[math.ceil(at(p))] - values[int(at(p))]) * (at(p) % 1)
+        assert r["n"] == len(values)
+        if values:
+            assert r["p50"] == pytest.approx(want(0.5), abs=1e-5) and r["p95"] == pytest.approx(want(0.95), abs=1e-5) and r["longest"] == values[-1]
+        else:
+            assert r["p50"] is None and r["mean"] is None
+    assert set(got) == {g for g, _ in runs}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,5 +28,26 @@ def ranking_metrics(results: DataFrame, relevant: DataFrame, queries: DataFrame,
 
 
 def latency(runs: DataFrame, group: str, value: str) -> DataFrame:
-    """``group, n, mean, p50, p95, longest`` of ``value``."""
-    return runs.groupBy(group).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("p50"), F.round(F.percentile(value, 0.95), 6).alias("p95"), F.max(value).alias("longest"))
+    """``group, n, mean, p50, p95, longest`` of ``value``; percentiles are exact and interpolated.
+
+    Values are ranked within their group over range partitions, so neither a group
+    nor its distinct values are held by one task; of each group the rows next to a
+    percentile are kept. Null values count for nothing; a group without others has nulls.
+    """
+    from wherry.operators.frontier import place_in_group
+
+    sizes = runs.groupBy(group).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("longest"))
+    placed = place_in_group(runs.where(F.col(value).isNotNull()).select(F.col(group).alias("_group"), F.col(value).cast("double").alias("_v")), "_group", ["_v"], "_place")
+    joined = placed.join(sizes.select(F.col(group).alias("_g"), "n"), F.col("_group").eqNullSafe(F.col("_g")))
+
+    def near(share: float) -> list[Column]:
+        at = (F.col("n") - 1) * F.lit(share)
+        return [F.max(F.when(F.col("_place") - 1 == f(at), F.col("_v"))) for f in (F.floor, F.ceil)]
+
+    def between(name: str, share: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(share)
+        return F.round(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (at - F.floor(at)), 6).alias(name)
+
+    parts = {"p50": 0.5, "p95": 0.95}
+    found = joined.groupBy("_group").agg(*(c.alias(f"{name}_{end}") for name, share in parts.items() for end, c in zip(("low", "high"), near(share), strict=True)))
+    return sizes.join(found, F.col(group).eqNullSafe(F.col("_group")), "left").select(group, "n", "mean", *(between(name, share) for name, share in parts.items()), "longest")

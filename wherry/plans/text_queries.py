@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wherry.functions import html, pages, text, urls
 from wherry.operators.index import first_seen, last_wins
+from wherry.operators.skew import hot_threshold, join_by_frequency
 from wherry.plans import sql
 from wherry.sources.tables import table
 
@@ -153,8 +154,10 @@ def highlighted(spark: SparkSession, folder: str) -> DataFrame:
 def present_results(spark: SparkSession, folder: str) -> DataFrame:
     """Results with the title and abstract to show: the metadata's, else the url and nothing."""
     meta = metadata_last_wins(spark, folder).select("url", F.col("title").alias("m_title"), "abstract")
-    rows = table(spark, folder, "search_results", "result_id", "query_id", "rank_no", "url").join(meta, "url", "left")
-    return rows.select("result_id", "query_id", "rank_no", "url", F.coalesce("m_title", "url").alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))
+    rows = table(spark, folder, "search_results", "result_id", "query_id", "rank_no", "url")
+    shown = meta.join(rows.groupBy("url").agg(F.count("*").alias("_n")), "url")  # popular pages stand under many queries
+    joined = join_by_frequency(rows, shown, "url", F.col("_n"), hot_threshold(rows.count()), "left")
+    return joined.select("result_id", "query_id", "rank_no", "url", F.coalesce("m_title", "url").alias("title"), F.coalesce("abstract", F.lit("")).alias("abstract"))
 
 
 def host_counts(spark: SparkSession, folder: str) -> DataFrame:
