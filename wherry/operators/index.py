@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wherry.functions.text import STOPWORDS, tokens
-from wherry.sources.jsonl import write_index
+from wherry.sources.jsonl import delete, rename, write_index
 from wherry.operators.skew import hot_threshold, join_by_frequency
-from wherry.session import checkpoint, forget_shuffles, written
+from wherry.session import checkpoint, forget_shuffles
 
 #: Weight of a term's occurrence in each field.
 FIELD_WEIGHTS = {"title": 3, "heading": 2, "body": 1}
@@ -55,18 +55,27 @@ def postings(docs: DataFrame, tokenizer=tokens, stopwords: list[str] | DataFrame
 
 
 def build(docs: DataFrame, path: str, n_docs: int) -> None:
-    """Writes the index of ``docs`` to the folder ``path``: ``postings`` with weights, sorted by term, ``terms`` and, last, ``docs`` with their ``length``.
+    """Writes the index of ``docs`` to the folder ``path``: ``terms``, ``postings`` (``term, docid, tf, weighted_tf``) sorted by term and, last, ``docs`` with their ``length``.
 
     ``n_docs`` is the number of documents, counting those without terms. Each table is
-    committed as a whole, so an index with its last table is complete.
+    committed as a whole, so an index with its last table is complete. Postings hold
+    counts alone: a weight is a term's idf times a function of the count, and the
+    idf is at hand wherever a query's or document's weights are summed. Documents that come
+    partitioned by docid are counted where they are, and their files keep a
+    document's terms together, so lengths are sums within a file.
     """
     spark = docs.sparkSession
-    raw = written(postings(docs))
-    terms = term_statistics(raw, n_docs)
-    write_index({"terms": terms}, path)
-    write_index({"postings": weigh(raw, spark.read.parquet(f"{path}/terms"), raw.count())}, path)
+    raw_path = f"{path}/raw"
+    postings(docs).write.parquet(raw_path)
+    raw = spark.read.parquet(raw_path)
+    write_index({"terms": term_statistics(raw, n_docs)}, path)
+    terms = spark.read.parquet(f"{path}/terms")
     forget_shuffles(spark)
-    write_index({"docs": docs.join(norms(docs, spark.read.parquet(f"{path}/postings")), "docid")}, path)
+    write_index({"docs": docs.join(norms(docs, weigh(raw, terms, raw.count())), "docid")}, f"{path}/late")
+    write_index({"postings": raw.select("term", "docid", "tf", "weighted_tf")}, path)
+    rename(spark, f"{path}/late/docs", f"{path}/docs")
+    for done in (raw_path, f"{path}/late"):
+        delete(spark, done)
     forget_shuffles(spark)
 
 
@@ -75,9 +84,20 @@ def term_statistics(index: DataFrame, n_docs: int) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")))
 
 
+#: Terms up to which a dictionary is broadcast whole; some 60 bytes each.
+BROADCAST_TERMS = 200_000
+
+
 def weigh(index: DataFrame, terms: DataFrame, n_rows: int) -> DataFrame:
-    """``docid, term, tf, weighted_tf, weight`` with weight = (1 + log10 weighted_tf) * idf; frequent terms are broadcast, the others shuffled."""
-    joined = join_by_frequency(index, terms, "term", F.col("df"), hot_threshold(n_rows))
+    """``docid, term, tf, weighted_tf, weight`` with weight = (1 + log10 weighted_tf) * idf.
+
+    A dictionary of at most ``BROADCAST_TERMS`` terms is broadcast; of a larger one the
+    frequent terms are, and the others shuffled.
+    """
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        joined = index.join(F.broadcast(terms), "term")
+    else:
+        joined = join_by_frequency(index, terms, "term", F.col("df"), hot_threshold(n_rows))
     return joined.withColumn("weight", (1 + F.log10("weighted_tf")) * F.col("idf"))
 
 

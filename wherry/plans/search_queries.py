@@ -61,12 +61,12 @@ class Engine:
             index.build(shown, path, table(spark, folder, "doc_map").count())
 
         tables = jsonl.load_or_build(spark, index_path(spark, folder), ["terms", "postings", "docs"], build, remake)
-        self.terms, self.weighted, self.docs = tables["terms"], tables["postings"], tables["docs"]
+        self.terms, self.postings, self.docs = tables["terms"], tables["postings"], tables["docs"]
         self.lengths = self.docs.select("docid", "length")
         self.vectors = retrieval.query_vectors(self.queries, self.terms)
 
     def candidates(self, k: int = CANDIDATES) -> DataFrame:
-        return retrieval.search(self.vectors, self.weighted, self.lengths, k)
+        return retrieval.search(self.vectors, self.postings, self.lengths, k)
 
     def covered(self, k: int = CANDIDATES) -> DataFrame:
         fields = self.docs.select("docid", "title", "published_date", F.col("body").alias("abstract"))
@@ -145,7 +145,7 @@ def _families(spark: SparkSession, folder: str) -> DataFrame:
 def _roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Rows and sums of the index as it is read back from its files."""
     engine = Engine(spark, folder)
-    counts = [engine.weighted.groupBy(F.lit("postings").alias("name")).agg(F.count("*").alias("n"), F.sum("weighted_tf").alias("total")), engine.terms.select(F.lit("terms").alias("name"), "df").groupBy("name").agg(F.count("*").alias("n"), F.sum("df").alias("total")), engine.docs.groupBy(F.lit("docs").alias("name")).agg(F.count("*").alias("n"), F.sum("docid").alias("total"))]
+    counts = [engine.postings.groupBy(F.lit("postings").alias("name")).agg(F.count("*").alias("n"), F.sum("weighted_tf").alias("total")), engine.terms.select(F.lit("terms").alias("name"), "df").groupBy("name").agg(F.count("*").alias("n"), F.sum("df").alias("total")), engine.docs.groupBy(F.lit("docs").alias("name")).agg(F.count("*").alias("n"), F.sum("docid").alias("total"))]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
@@ -263,8 +263,8 @@ QUERIES: dict[str, Query] = {
     "bool_and": _boolean(["讲座", "报告"], "and"),
     "bool_or": _boolean(["讲座", "论坛", "forum"], "or"),
     "query_vectors": lambda s, d: Engine(s, d).vectors.select("query_id", "term", F.round("qweight", 9).alias("qweight")),
-    "dot_products": lambda s, d: retrieval.dot_products(*(lambda e: (e.vectors, e.weighted))(Engine(s, d))).select("query_id", "docid", F.round("dot", 6).alias("dot")),
-    "cosine_scores": lambda s, d: retrieval.cosine(*(lambda e: (e.vectors, e.weighted, e.lengths))(Engine(s, d))).select("query_id", "docid", F.round("score", 6).alias("score")),
+    "dot_products": lambda s, d: retrieval.dot_products(*(lambda e: (e.vectors, e.postings))(Engine(s, d))).select("query_id", "docid", F.round("dot", 6).alias("dot")),
+    "cosine_scores": lambda s, d: retrieval.cosine(*(lambda e: (e.vectors, e.postings, e.lengths))(Engine(s, d))).select("query_id", "docid", F.round("score", 6).alias("score")),
     "search_tfidf": _search,
     "candidates": lambda s, d: Engine(s, d).candidates().select("query_id", "docid", "rank_no"),
     "rerank_terms": lambda s, d: retrieval.rerank_terms(Engine(s, d).vectors).select("query_id", "term", "compact_term"),

@@ -86,6 +86,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a file or folder in one step to a name that nothing has."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    if not a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b):
+        raise OSError(f"can't move {old} to {new}")
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A hash of the names, sizes and times of all files under ``paths``: changes when any of them does."""
     seen = hashlib.sha256()
@@ -108,8 +120,6 @@ def load_or_build(spark: SparkSession, path: str, names: list[str], build, remak
     if remake or not all(exists(spark, f"{path}/{n}/_SUCCESS") for n in names):
         beside = f"{path}.{uuid.uuid4().hex}"
         build(beside)
-        old, new = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, beside))
-        fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        delete(spark, path)
+        rename(spark, beside, path)
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
