@@ -19,10 +19,10 @@ def test_pages_and_index(spark, tmp_path):
     (tmp_path / "h/b.html").write_bytes("<p>学生</p>".encode("gb18030"))
     assert {r["html"] for r in jsonl.read_pages(spark, str(tmp_path / "h")).collect()} == {"<p>学生</p>"}
     built = []
-    make = lambda at: built.append(1) or jsonl.write_index({"postings": spark.createDataFrame([("b", 1), ("a", 2)], "term string, docid long")}, at)
+    make = lambda at: built.append(1) or jsonl.write_bucketed(spark.createDataFrame([("b", 1), ("a", 2)], "term string, docid long"), at, "postings", 3, ["term"])
     path = str(tmp_path / "index")
     for remake in (False, False, True):
-        assert jsonl.load_or_build(spark, path, ["postings"], make, remake)["postings"].count() == 2
+        assert jsonl.load_or_build(spark, path, ["postings"], make, lambda at: {"postings": jsonl.read_bucketed(spark, at, "postings", 3, ["term"])}, remake)["postings"].count() == 2
     assert len(built) == 2
     assert jsonl.decode_page('<meta charset="big5">學院'.encode("big5")).endswith("學院") and jsonl.decode_page("é".encode("utf-16")) == "é" and jsonl.decode_page(b"\xff\xff<meta charset=nonsense>")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wherry.functions.text import STOPWORDS, tokens
-from wherry.sources.jsonl import delete, rename, write_index
+from wherry.sources.jsonl import read_bucketed, write_bucketed, write_index
 from wherry.operators.skew import hot_threshold, join_by_frequency
 from wherry.session import checkpoint, forget_shuffles
 
@@ -54,31 +54,36 @@ def postings(docs: DataFrame, tokenizer=tokens, stopwords: list[str] | DataFrame
     return field_terms(docs, tokenizer, stopwords).groupBy("docid", "term").agg(F.count("*").alias("tf"), F.sum(weight).alias("weighted_tf"))
 
 
-def build(docs: DataFrame, path: str, n_docs: int) -> None:
-    """Writes the index of ``docs`` to the folder ``path``: ``terms``, ``postings`` (``term, docid, tf, weighted_tf``) sorted by term and, last, ``docs`` with their ``length``.
+#: Postings that a bucket of the index holds at most on average, and the least number of buckets.
+BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 12
 
-    ``n_docs`` is the number of documents, counting those without terms. Each table is
-    committed as a whole, so an index with its last table is complete. Postings hold
-    counts alone: a weight is a term's idf times a function of the count, and the
-    idf is at hand wherever a query's or document's weights are summed. Documents that come
-    partitioned by docid are counted where they are, and their files keep a
-    document's terms together, so lengths are sums within a file.
+
+def build(docs: DataFrame, path: str, n_docs: int, buckets: int) -> None:
+    """Writes the index of ``docs`` to the folder ``path``: ``postings`` (``term, docid, tf, weighted_tf``), ``terms`` and, last, ``docs`` with their ``length``.
+
+    ``n_docs`` is the number of documents, counting those without terms. Postings and
+    documents lie in ``buckets`` by docid, postings sorted by term in each: what a query
+    adds up per document is added up where it lies, and only each bucket's best reach a
+    shuffle; a list of terms still prunes row groups. Documents are shuffled once, before
+    their terms are counted. Postings hold counts alone: a weight is a term's idf
+    times a function of the count, and the idf is at hand wherever weights are summed.
     """
     spark = docs.sparkSession
-    raw_path = f"{path}/raw"
-    postings(docs).write.parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
-    write_index({"terms": term_statistics(raw, n_docs)}, path)
-    terms = spark.read.parquet(f"{path}/terms")
+    placed = docs.repartition(buckets, "docid")
+    write_bucketed(postings(placed), path, "postings", buckets, ["term", "docid"])
+    counted = read_bucketed(spark, path, "postings", buckets, ["term", "docid"])
+    write_index({"terms": term_statistics(counted, n_docs)}, path)
     forget_shuffles(spark)
-    write_index({"docs": docs.join(norms(docs, weigh(raw, terms, raw.count())), "docid")}, f"{path}/late")
-    write_index({"postings": raw.select("term", "docid", "tf", "weighted_tf")}, path)
-    rename(spark, f"{path}/late/docs", f"{path}/docs")
-    for done in (raw_path, f"{path}/late"):
-        delete(spark, done)
+    lengths = norms(placed, weigh(counted, spark.read.parquet(f"{path}/terms"), counted.count()))
+    write_bucketed(placed.join(lengths, "docid"), path, "docs", buckets, ["docid"])
     forget_shuffles(spark)
 
 
+def load(spark: SparkSession, path: str, buckets: int) -> dict[str, DataFrame]:
+    """The tables of a written index."""
+    return {"terms": spark.read.parquet(f"{path}/terms"), "postings": read_bucketed(spark, path, "postings", buckets, ["term", "docid"]), "docs": read_bucketed(spark, path, "docs", buckets, ["docid"])}
+
+
 def term_statistics(index: DataFrame, n_docs: int) -> DataFrame:
     """``term, df, idf`` with idf = log10(N / df); N counts all documents, also those without terms."""
     return index.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log10(F.lit(float(n_docs)) / F.col("df")))

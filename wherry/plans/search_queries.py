@@ -23,6 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 K = 20
 #: Candidates of each query that re-ranking and selection see.
 CANDIDATES = max(500, 25 * K)
+#: Distinct terms of a page, by which the number of the index's buckets is chosen.
+TERMS_PER_PAGE = 100
 #: Families of pages of which a strict selection takes few: the test site's video pages.
 FAMILIES = [FamilyRule("ai.yunpu-u.example", "/addons/video/play.html", "play", 2), FamilyRule("ai.yunpu-u.example", "/addons/video/cate.html", "category", 1)]
 
@@ -56,11 +58,14 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, queries: DataFrame | None = None, remake: bool = False) -> None:
         self.queries = table(spark, folder, "queries") if queries is None else queries
 
-        def build(path: str) -> None:
+        path, n_docs = index_path(spark, folder), table(spark, folder, "doc_map").count()
+        buckets = max(index.LEAST_BUCKETS, -(-n_docs * TERMS_PER_PAGE // index.BUCKET_ROWS))
+
+        def build(beside: str) -> None:
             shown = documents(spark, folder).withColumns({"key": F.coalesce(urls.canonical(F.col("url")), F.col("url")), "family": retrieval.family(F.col("url"), FAMILIES)})
-            index.build(shown, path, table(spark, folder, "doc_map").count())
+            index.build(shown, beside, n_docs, buckets)
 
-        tables = jsonl.load_or_build(spark, index_path(spark, folder), ["terms", "postings", "docs"], build, remake)
+        tables = jsonl.load_or_build(spark, path, ["postings", "terms", "docs"], build, lambda path: index.load(spark, path, buckets), remake)
         self.terms, self.postings, self.docs = tables["terms"], tables["postings"], tables["docs"]
         self.lengths = self.docs.select("docid", "length")
         self.vectors = retrieval.query_vectors(self.queries, self.terms)

@@ -75,10 +75,9 @@ def write_records(rows: DataFrame, path: str) -> None:
 
 
 def write_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Index tables as Parquet; postings lie sorted by term, so that a query reads few row groups."""
+    """Tables as Parquet, each in its own folder of ``path``."""
     for name, rows in tables.items():
-        out = rows.repartitionByRange("term", "docid").sortWithinPartitions("term", "docid") if {"term", "docid"} <= set(rows.columns) else rows
-        out.write.mode("overwrite").parquet(f"{path}/{name}")
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -86,6 +85,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def write_bucketed(rows: DataFrame, path: str, name: str, buckets: int, order: list[str]) -> None:
+    """``rows`` as Parquet at ``path/name`` in ``buckets`` by docid, sorted by ``order`` in each; one file a bucket if they come so partitioned."""
+    spark, table = rows.sparkSession, f"wherry_{uuid.uuid4().hex}"
+    rows.write.format("parquet").bucketBy(buckets, "docid").sortBy(*order).option("path", f"{path}/{name}").saveAsTable(table)
+    spark.sql(f"drop table {table}")  # the catalog's entry; the files stay
+
+
+def read_bucketed(spark: SparkSession, path: str, name: str, buckets: int, order: list[str]) -> DataFrame:
+    """The table of :func:`write_bucketed`, so that Spark knows its buckets."""
+    table = f"wherry_{hashlib.sha256(f'{path}/{name}/{buckets}'.encode()).hexdigest()[:32]}"
+    if not spark.catalog.tableExists(table):
+        schema = spark.read.parquet(f"{path}/{name}").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        spark.sql(f"create table {table} ({columns}) using parquet clustered by (docid) sorted by ({', '.join(order)}) into {buckets} buckets location '{path}/{name}'")
+    return spark.table(table)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
@@ -112,8 +128,8 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return seen.hexdigest()[:24]
 
 
-def load_or_build(spark: SparkSession, path: str, names: list[str], build, remake: bool = False) -> dict[str, DataFrame]:
-    """The index tables of ``path``; first written by ``build(folder)`` if one is missing or ``remake`` is set.
+def load_or_build(spark: SparkSession, path: str, names: list[str], build, load, remake: bool = False) -> dict[str, DataFrame]:
+    """The index tables of ``path``, as ``load(path)`` reads them; first written by ``build(folder)`` if one of ``names`` is missing or ``remake`` is set.
 
     A new index is written beside and moved into place, so readers see a whole one or none.
     """
@@ -122,4 +138,4 @@ def load_or_build(spark: SparkSession, path: str, names: list[str], build, remak
         build(beside)
         delete(spark, path)
         rename(spark, beside, path)
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    return load(path)
