@@ -99,6 +99,7 @@ def read_bucketed(spark: SparkSession, path: str, name: str, buckets: int, order
         schema = spark.read.parquet(f"{path}/{name}").schema
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
         spark.sql(f"create table {table} ({columns}) using parquet clustered by (docid) sorted by ({', '.join(order)}) into {buckets} buckets location '{path}/{name}'")
+    spark.catalog.refreshTable(table)  # the files may have been made anew
     return spark.table(table)
 
 
