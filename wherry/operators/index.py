@@ -54,8 +54,13 @@ def postings(docs: DataFrame, tokenizer=tokens, stopwords: list[str] | DataFrame
     return field_terms(docs, tokenizer, stopwords).groupBy("docid", "term").agg(F.count("*").alias("tf"), F.sum(weight).alias("weighted_tf"))
 
 
-#: Postings that a bucket of the index holds at most on average, and the least number of buckets.
-BUCKET_ROWS, LEAST_BUCKETS = 4_000_000, 12
+#: Postings that a bucket of the index holds on average, and the least and greatest number of buckets (Spark allows no more).
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 48, 100_000
+
+
+def bucket_number(n_docs: int, terms_per_doc: int = 100) -> int:
+    """How many buckets an index of so many documents has. A task adds up one bucket, for all queries of a batch, so there are many even for few documents."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n_docs * terms_per_doc // BUCKET_ROWS)))
 
 
 def build(docs: DataFrame, path: str, n_docs: int, buckets: int) -> None:

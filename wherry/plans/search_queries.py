@@ -23,8 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 K = 20
 #: Candidates of each query that re-ranking and selection see.
 CANDIDATES = max(500, 25 * K)
-#: Distinct terms of a page, by which the number of the index's buckets is chosen.
-TERMS_PER_PAGE = 100
 #: Families of pages of which a strict selection takes few: the test site's video pages.
 FAMILIES = [FamilyRule("ai.yunpu-u.example", "/addons/video/play.html", "play", 2), FamilyRule("ai.yunpu-u.example", "/addons/video/cate.html", "category", 1)]
 
@@ -59,7 +57,7 @@ class Engine:
         self.queries = table(spark, folder, "queries") if queries is None else queries
 
         path, n_docs = index_path(spark, folder), table(spark, folder, "doc_map").count()
-        buckets = max(index.LEAST_BUCKETS, -(-n_docs * TERMS_PER_PAGE // index.BUCKET_ROWS))
+        buckets = index.bucket_number(n_docs)
 
         def build(beside: str) -> None:
             shown = documents(spark, folder).withColumns({"key": F.coalesce(urls.canonical(F.col("url")), F.col("url")), "family": retrieval.family(F.col("url"), FAMILIES)})
