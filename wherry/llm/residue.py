@@ -105,7 +105,8 @@ def _segment_kind(s: str) -> str:
         return "filler"
     if _ERROR.match(low):
         return "error"
-    if _SCRIPT.search(low) or _says_only(low, _SCRIPTS, _NEEDS, f"{_USES}|{_THINGS}|{_AROUND}"):
+    scripts = "script" in low or "js" in low or "脚本" in low  # part of all that follows
+    if scripts and (_SCRIPT.search(low) or _says_only(low, _SCRIPTS, _NEEDS, f"{_USES}|{_THINGS}|{_AROUND}")):
         return "script"
     if _says_only(low, _THINGS, _STATES, _AROUND):
         return "error"
