@@ -58,3 +58,11 @@ def test_new_urls(spark, tmp_path):
     rows = [("u", datetime(2024, 1, 1)), ("u", datetime(2024, 1, 1, 1)), ("v", datetime(2024, 1, 1))]
     assert {r["url"] for r in run(spark, new_urls(source(spark, tmp_path, rows)), "fresh")} == {"u", "v"}
     assert F.lit(1) is not None
+
+
+def test_written_tables(spark):
+    from wherry.session import written
+
+    rows = spark.createDataFrame([(1, [2], None), (None, [], "x")], "a long, b array<int>, c string")
+    got = written(rows)
+    assert got.schema == rows.schema and sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and written(rows.limit(0)).count() == 0

@@ -55,11 +55,11 @@ def postings(docs: DataFrame, tokenizer=tokens, stopwords: list[str] | DataFrame
 
 
 #: Postings that a bucket of the index holds on average, and the least and greatest number of buckets (Spark allows no more).
-BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 48, 100_000
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 4_000_000, 12, 100_000
 
 
 def bucket_number(n_docs: int, terms_per_doc: int = 100) -> int:
-    """How many buckets an index of so many documents has. A task adds up one bucket, for all queries of a batch, so there are many even for few documents."""
+    """How many buckets an index of so many documents has: as few as tasks bear, as each hands on the best candidates of every query."""
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-n_docs * terms_per_doc // BUCKET_ROWS)))
 
 
