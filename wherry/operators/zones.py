@@ -41,9 +41,14 @@ def estimate_zones(records: DataFrame, candidates: list[str] = CANDIDATE_ZONES)
     with null or unreadable parts count for nothing; a host without readable
     record is absent.
     """
-    tried = records.where(F.col("host").isNotNull() & F.col("seen_at").isNotNull()).select("host", "local_text", "seen_at", F.posexplode(F.array(*map(F.lit, candidates))).alias("preference", "zone"))
-    dated = with_published_utc(tried, "_at", F.col("local_text"), F.col("zone"), F.lit("ymd"))
-    per = dated.select("host", "zone", "preference", (F.unix_micros("seen_at") - F.unix_micros("_at")).alias("delay"), (own_offset(F.col("local_text"), F.col("_at")) != offset_at(F.col("zone"), F.col("_at"))).alias("other"))
+    rows = records.where(F.col("host").isNotNull() & F.col("seen_at").isNotNull()).select("host", "local_text", "seen_at")
+    # Each string is read twice, not once a candidate: what is the same instant in two zones names its own.
+    read = with_published_utc(rows, "_utc", F.col("local_text"), F.lit("UTC"), F.lit("ymd"))
+    read = with_published_utc(read, "_far", F.col("local_text"), F.lit("Asia/Tokyo"), F.lit("ymd"))
+    known = read.select("host", "seen_at", F.explode(F.array_compact(F.array("_utc"))).alias("_utc"), (F.col("_utc") == F.col("_far")).alias("_fixed"), own_offset(F.col("local_text"), F.col("_utc")).alias("_own"))
+    tried = known.select("*", F.posexplode(F.array(*map(F.lit, candidates))).alias("preference", "zone"))
+    at = F.when(F.col("_fixed"), F.col("_utc")).otherwise(F.to_utc_timestamp("_utc", F.col("zone")))
+    per = tried.select("host", "zone", "preference", (F.unix_micros("seen_at") - F.unix_micros(at)).alias("delay"), (F.col("_own") != offset_at(F.col("zone"), at)).alias("other"))
     fits = per.groupBy("host", "zone", "preference").agg(F.count_if((F.col("delay") < 0) | F.coalesce("other", F.lit(False))).alias("violations"), F.avg("delay").alias("mean_delay"), F.count("delay").alias("n_records")).where("n_records > 0")
     order = F.struct(F.col("violations"), F.round(F.col("mean_delay") / 3.6e9, 3), F.col("preference"))
     return fits.groupBy("host").agg(F.min_by("zone", order).alias("zone"), F.min("violations").alias("violations"), F.max("n_records").alias("n_records"))
