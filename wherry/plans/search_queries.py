@@ -71,21 +71,28 @@ class Engine:
     def candidates(self, k: int = CANDIDATES) -> DataFrame:
         return retrieval.search(self.vectors, self.postings, self.lengths, k)
 
-    def covered(self, k: int = CANDIDATES) -> DataFrame:
+    def covered(self, k: int = CANDIDATES, more: DataFrame | None = None) -> DataFrame:
         fields = self.docs.select("docid", "title", "published_date", F.col("body").alias("abstract"))
-        return retrieval.coverage(self.candidates(k), retrieval.rerank_terms(self.vectors), fields)
+        return retrieval.coverage(self.candidates(k), retrieval.rerank_terms(self.vectors), fields if more is None else fields.join(more, "docid", "left"))
 
-    def reranked(self, k: int = CANDIDATES) -> DataFrame:
-        return retrieval.rerank(self.covered(k))
+    def reranked(self, k: int = CANDIDATES, more: DataFrame | None = None) -> DataFrame:
+        return retrieval.rerank(self.covered(k, more))
+
+    def groups(self) -> DataFrame:
+        """``docid, key, hash, family``: numbers instead of a document's key and content hash, the least id of those that share it; null where it has none."""
+        rows = self.docs.select("docid", "key", F.col("content_hash").alias("hash"), "family")
+        for c in ("key", "hash"):
+            least = rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("docid").alias("_n"))
+            rows = rows.join(least, c, "left").withColumn(c, F.col("_n")).drop("_n")
+        return rows
 
     def lists(self, k: int = CANDIDATES) -> DataFrame:
-        """One row a query: its re-ranked and guarded candidates as structs of docid, rank_no, url, key, hash and family."""
-        keyed = self.reranked(k).join(self.docs.select("docid", "url", "key", F.col("content_hash").alias("hash"), "family"), "docid")
-        return retrieval.guarded(retrieval.ranked_lists(keyed, "url", "key", "hash", "family"))
+        """One row a query: its re-ranked and guarded candidates as structs of docid, rank_no, key, hash and family."""
+        return retrieval.guarded(retrieval.ranked_lists(self.reranked(k, self.groups()), "key", "hash", "family"))
 
     def keyed(self) -> DataFrame:
-        """``query_id, rank_no, docid, url, key, hash, family`` of the re-ranked and guarded candidates."""
-        return self.lists().select("query_id", F.posexplode("l").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank_no"), "x.docid", "x.url", "x.key", "x.hash", "x.family")
+        """``query_id, rank_no, docid, key, hash, family`` of the re-ranked and guarded candidates."""
+        return self.lists().select("query_id", F.posexplode("l").alias("i", "x")).select("query_id", (F.col("i") + 1).alias("rank_no"), "x.docid", "x.key", "x.hash", "x.family")
 
     def service(self, k: int = K) -> DataFrame:
         """``query_id, place, docid, url, stage``: the whole search."""
@@ -117,8 +124,8 @@ def _dedup(column: str) -> Query:
     """Re-ranked and guarded candidates without later ones that repeat a key; a null key repeats nothing."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        rows = Engine(spark, folder).keyed().withColumn("k", F.coalesce(F.col(column), F.concat(F.lit("doc:"), F.col("docid").cast("string"))))
-        return rows.groupBy("query_id", "k").agg(F.min_by("docid", "rank_no").alias("docid"), F.min("rank_no").alias("rank_no")).select("query_id", "docid", "rank_no")
+        rows = Engine(spark, folder).keyed().withColumn("alone", F.when(F.col(column).isNull(), F.col("docid")))
+        return rows.groupBy("query_id", column, "alone").agg(F.min_by("docid", "rank_no").alias("docid"), F.min("rank_no").alias("rank_no")).select("query_id", "docid", "rank_no")
 
     return run
 
