@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     return path
 
 
-SCORED = ["coverage_features"]
+SCORED = ["coverage_features", "dedup_content"]
 
 
 @pytest.mark.parametrize("name", SCORED)
