@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     return path
 
 
-SCORED = ["coverage_features", "dedup_content", "search_service", "select_relaxed", "candidates"]
+SCORED = ["coverage_features", "dedup_content", "search_service", "select_relaxed", "candidates", "rerank"]
 
 
 @pytest.mark.parametrize("name", SCORED)
