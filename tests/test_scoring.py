@@ -22,7 +22,7 @@ def tables(spark, tmp_path_factory):
     return path
 
 
-SCORED = ["coverage_features", "dedup_content", "search_service", "select_relaxed", "candidates", "rerank", "search_tfidf", "select_strict", "cosine_scores", "dedup_canonical", "rerank_guarded", "rag_search", "dot_products", "second_hop"]
+SCORED = ["coverage_features", "dedup_content", "search_service", "select_relaxed", "candidates", "rerank", "search_tfidf", "select_strict", "cosine_scores", "dedup_canonical", "rerank_guarded", "rag_search", "dot_products", "second_hop", "rag_prompts"]
 
 
 @pytest.mark.parametrize("name", SCORED)
