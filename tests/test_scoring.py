@@ -77,3 +77,25 @@ def test_coverage_hands_on_columns(spark):
     terms = spark.createDataFrame([(1, "ab", "ab", 1.0)], "query_id long, term string, compact_term string, idf double")
     fields = spark.createDataFrame([(7, "AB", None, "c", 3)], "docid long, title string, published_date string, abstract string, key long")
     assert retrieval.coverage(candidates, terms, fields).select("key", F.col("title_share"), "document_share").first() == (3, 1.0, 0.5)
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_each_text_is_searched_once_and_in_parts(spark, tables, monkeypatch):
+    asked = spark.createDataFrame([(1, 0, "needle word1"), (1, 1, "word2"), (2, 0, "word2"), (2, 3, "word3 word4"), (3, 0, "unknown"), (None, 0, "word2")], "query_id long, subq int, text string")
+    seen, service = [], search_queries.Engine.service
+
+    def spy(self, k):
+        seen.append([r["text"] for r in self.queries.collect()])
+        return service(self, k)
+
+    monkeypatch.setattr(search_queries.Engine, "service", spy)
+    whole = rows_of(search_queries.searched(spark, tables, asked))
+    assert len(whole) == 30 and sorted(sum(seen, [])) == ["needle word1", "unknown", "word2", "word2", "word3 word4"]
+    monkeypatch.setattr(search_queries, "TEXTS_AT_ONCE", 1)
+    monkeypatch.setattr(search_queries, "DOCS_A_TEXT", 100)
+    seen.clear()
+    assert rows_of(search_queries.searched(spark, tables, asked)) == whole and len(seen) == 5
+    assert search_queries.searched(spark, tables, asked.limit(0)).count() == 0

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wherry.functions import html, urls
@@ -15,7 +15,7 @@ from wherry.functions.text import clean_text
 from wherry.operators import index, metrics, rag, retrieval
 from wherry.operators.retrieval import FamilyRule
 from wherry.plans import sql, text_queries
-from wherry.session import checkpoint, shared_folder
+from wherry.session import checkpoint, shared_folder, written
 from wherry.sources import jsonl
 from wherry.sources.tables import table
 
@@ -191,11 +191,31 @@ TOP, SUBS = 5, 1000
 HOP = rag.HopRule((), "([一-鿿](?:副教授|教授|研究员|院长|书记|主任|老师))谈", "%s讲座")
 
 
+#: Distinct texts that are searched at once, and results whose texts are merged at once: so many, or one for every so many documents.
+TEXTS_AT_ONCE, DOCS_A_TEXT = 8_000, 40
+RESULTS_AT_ONCE, DOCS_A_RESULT = 25_000, 6
+
+
+def in_parts(key: Column, n: int, most: int) -> list[Column]:
+    """Conditions that split ``n`` rows into parts of about ``most`` each, whole by ``key``; null is a key."""
+    parts = max(1, -(-n // most))
+    return [F.pmod(F.xxhash64(key), F.lit(parts)) == p for p in range(parts)]
+
+
 def searched(spark: SparkSession, folder: str, asked: DataFrame, k: int = TOP) -> DataFrame:
-    """``query_id, subq, rank_no, docid`` of the search service for each sub-query ``asked(query_id, subq, text)``."""
-    rows = asked.select((F.col("query_id") * SUBS + F.col("subq")).alias("query_id"), "text")
-    found = checkpoint(Engine(spark, folder, rows).service(k))
-    return found.select(F.floor(F.col("query_id") / SUBS).alias("query_id"), (F.col("query_id") % SUBS).alias("subq"), F.col("place").alias("rank_no"), "docid")
+    """``query_id, subq, rank_no, docid`` of the search service for each sub-query ``asked(query_id, subq, text)``.
+
+    Each text is searched once, however many ask it. Of the texts a part is searched at a
+    time and its results are written, so that the candidates of one part alone take disk.
+    """
+    lost = F.col("query_id").isNull().alias("_lost")
+    asked = written(asked)
+    texts = written(asked.groupBy("text", lost).agg(F.min(F.col("query_id") * SUBS + F.col("subq")).alias("query_id")))
+    most = max(TEXTS_AT_ONCE, table(spark, folder, "doc_map").count() // DOCS_A_TEXT)
+    found = [written(Engine(spark, folder, texts.where(part).select("query_id", "text")).service(k).select("query_id", "place", "docid")) for part in in_parts(F.col("text"), texts.count(), most)]
+    named = asked.withColumn("_lost", lost).alias("a").join(texts.select("text", "_lost", F.col("query_id").alias("_id")).alias("t"), F.expr("a.text <=> t.text and a._lost = t._lost")).select("query_id", "subq", "_id")
+    hits = reduce(DataFrame.unionByName, found).select(F.col("query_id").alias("_of"), F.col("place").alias("rank_no"), "docid")
+    return named.join(hits, F.col("_id").eqNullSafe(F.col("_of"))).select("query_id", F.col("subq").cast("long").alias("subq"), "rank_no", "docid")
 
 
 def multi_searched(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,16 +223,21 @@ def multi_searched(spark: SparkSession, folder: str) -> DataFrame:
     engine = Engine(spark, folder)
     first = checkpoint(rag.multi_search(searched(spark, folder, expanded(engine)), TOP))
     titled = first.join(engine.docs.select("docid", "title"), "docid")
-    second = checkpoint(searched(spark, folder, checkpoint(rag.hop_queries(engine.queries, titled, HOP))))
+    second = checkpoint(searched(spark, folder, rag.hop_queries(engine.queries, titled, HOP)))
     return rag.splice(first, second, TOP)
 
 
-def with_texts(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
-    """``query_id, rank_no, docid, url, title, snippet, content`` of ``found(query_id, docid, place)``: title and abstract of the latest record, main text of the saved page."""
-    docs = Engine(spark, folder).docs.select("docid", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.coalesce(F.nullif("body", F.lit("")), F.lit(rag.NO_SNIPPET)).alias("snippet"))
-    wanted = checkpoint(found.join(docs, "docid"))
+def main_texts(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """``docid, content``: the main text of the saved pages among ``wanted(docid)``."""
     pages = text_queries.bare_pages(spark, folder).join(wanted.select("docid").distinct(), "docid", "left_semi")
-    content = text_queries.parsed_pages(pages).select("docid", F.col("p.content").alias("content"))
+    return text_queries.parsed_pages(pages).select("docid", F.col("p.content").alias("content"))
+
+
+def with_texts(spark: SparkSession, folder: str, found: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """``query_id, rank_no, docid, url, title, snippet, content`` of ``found(query_id, docid, place)``: title and abstract of the latest record, main text of the saved page (of ``contents``, if they are at hand)."""
+    docs = Engine(spark, folder).docs.select("docid", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.coalesce(F.nullif("body", F.lit("")), F.lit(rag.NO_SNIPPET)).alias("snippet"))
+    wanted = written(found.join(docs, "docid"))
+    content = main_texts(spark, folder, wanted) if contents is None else contents
     return wanted.join(content, "docid", "left").select("query_id", F.col("place").alias("rank_no"), "docid", "url", "title", "snippet", F.coalesce("content", F.lit("")).alias("content"))
 
 
@@ -241,10 +266,19 @@ def _custom(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
-    """From question to prompt: expansion, searches, follow-up searches, contents, custom integration."""
+    """From question to prompt: expansion, searches, follow-up searches, contents, custom integration.
+
+    Pages are parsed once; then the questions are handled part by part, so that the texts of one part alone are shuffled at a time.
+    """
     engine = Engine(spark, folder)
-    results = checkpoint(with_texts(spark, folder, multi_searched(spark, folder)))
-    return rag.prompts(engine.queries, rag.integrate("custom", results, rare_terms(engine.vectors)))
+    found, terms = written(multi_searched(spark, folder)), rare_terms(engine.vectors)
+    contents = written(main_texts(spark, folder, found))
+    most = max(RESULTS_AT_ONCE, engine.docs.count() // DOCS_A_RESULT)
+    asked = []
+    for part in in_parts(F.col("query_id"), found.count(), most):
+        results = with_texts(spark, folder, found.where(part), contents)
+        asked.append(written(rag.prompts(engine.queries.where(part), rag.integrate("custom", results, terms.where(part)))))
+    return reduce(DataFrame.unionByName, asked)
 
 
 def _known_items(spark: SparkSession, folder: str) -> DataFrame:
