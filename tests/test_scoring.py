@@ -99,3 +99,12 @@ def test_each_text_is_searched_once_and_in_parts(spark, tables, monkeypatch):
     seen.clear()
     assert rows_of(search_queries.searched(spark, tables, asked)) == whole and len(seen) == 5
     assert search_queries.searched(spark, tables, asked.limit(0)).count() == 0
+
+
+def test_prompts_are_made_in_parts(spark, tables, monkeypatch):
+    whole = rows_of(search_queries.QUERIES["rag_prompts"](spark, tables))
+    monkeypatch.setattr(search_queries, "RESULTS_AT_ONCE", 2)
+    monkeypatch.setattr(search_queries, "DOCS_A_RESULT", 100)
+    seen, integrate = [], search_queries.rag.integrate
+    monkeypatch.setattr(search_queries.rag, "integrate", lambda *a: seen.append(a[0]) or integrate(*a))
+    assert rows_of(search_queries.QUERIES["rag_prompts"](spark, tables)) == whole and len(whole) == 2 and len(seen) > 1
