@@ -4,10 +4,11 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wherry.operators import retrieval
+from wherry.operators import retrieval, scoring
 from wherry.plans import search_queries
 
 
@@ -108,3 +109,22 @@ def test_prompts_are_made_in_parts(spark, tables, monkeypatch):
     seen, integrate = [], search_queries.rag.integrate
     monkeypatch.setattr(search_queries.rag, "integrate", lambda *a: seen.append(a[0]) or integrate(*a))
     assert rows_of(search_queries.QUERIES["rag_prompts"](spark, tables)) == whole and len(whole) == 2 and len(seen) > 1
+
+
+@pytest.mark.parametrize(("name", "score"), [("dot_products", "dot")])
+def test_all_pairs_leave_python_rounded_and_bare(spark, tables, name, score):
+    engine = search_queries.Engine(spark, tables)
+    whole = retrieval.dot_products(engine.vectors, engine.postings) if score == "dot" else retrieval.cosine(engine.vectors, engine.postings, engine.lengths)
+    got = search_queries.QUERIES[name](spark, tables)
+    assert rows_of(got) == rows_of(whole.select("query_id", "docid", F.round(score, 6).alias(score))) and got.count() > 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"MapInArrow run\(.*?\)#\d+, \[query_id#\d+L, docid#\d+L, {score}#\d+\]", plan) and "round(" not in plan
+    assert search_queries.retrieval.cosine(engine.vectors.limit(0), engine.postings, engine.lengths, 6).count() == 0
+
+
+def test_rounded_is_the_round_of_sql(spark):
+    rng = np.random.default_rng(3)
+    ties = np.round((rng.integers(0, 10**6, 20_000) + 0.5) / 10**6, 7)
+    x = np.concatenate([ties, -ties[:99], ties + 7, np.nextafter(ties, 9), np.nextafter(ties, -9), np.round(rng.random(20_000), 9), rng.random(20_000) * 100, [0.0, -1e-9, 0.0000005, 1.0]])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").orderBy("i").select(F.round("x", 6)).collect()]
+    assert scoring.rounded(x, 6).tolist() == want

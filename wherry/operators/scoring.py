@@ -154,6 +154,33 @@ def batches(block: Block, found: Iterator[Hits], least: int = BATCH_ROWS) -> Ite
         yield out()
 
 
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """``x`` to so many decimals as Spark's ``round`` has it: halves of the number as it is written go away from zero. For numbers under 2**52 / 10**digits."""
+    scale = 10.0**digits
+    low = np.floor(np.abs(x) * scale)
+    return np.copysign((low + (np.abs(x) >= (low + 0.5) / scale)) / scale, x) + 0.0  # no negative zero
+
+
+def pairs(block: Block, found: Iterator[Hits], digits: int, name: str, least: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Hits as rows ``query_id, docid`` and the rounded score as column ``name``: no more than that is worked out."""
+    kept: list[Hits] = []
+    n = 0
+
+    def out() -> pa.RecordBatch:
+        ids = block.ids.take(pa.array(np.repeat([h.query for h in kept], [len(h.at) for h in kept])))
+        scores = rounded(np.concatenate([h.score for h in kept]), digits)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([h.docs.docid[h.at] for h in kept])), pa.array(scores)], ["query_id", "docid", name])
+
+    for h in found:
+        kept.append(h)
+        n += len(h.at)
+        if n >= least:
+            yield out()
+            kept, n = [], 0
+    if n:
+        yield out()
+
+
 def ranks(k: int) -> np.ndarray:
     """Ranks up to ``k``, each some 1.4 times the one before."""
     return np.unique([*(round(2 ** (x / 2)) for x in range(64) if 2 ** (x / 2) < k), k])
