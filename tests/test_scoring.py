@@ -111,7 +111,7 @@ def test_prompts_are_made_in_parts(spark, tables, monkeypatch):
     assert rows_of(search_queries.QUERIES["rag_prompts"](spark, tables)) == whole and len(whole) == 2 and len(seen) > 1
 
 
-@pytest.mark.parametrize(("name", "score"), [("dot_products", "dot")])
+@pytest.mark.parametrize(("name", "score"), [("dot_products", "dot"), ("cosine_scores", "score")])
 def test_all_pairs_leave_python_rounded_and_bare(spark, tables, name, score):
     engine = search_queries.Engine(spark, tables)
     whole = retrieval.dot_products(engine.vectors, engine.postings) if score == "dot" else retrieval.cosine(engine.vectors, engine.postings, engine.lengths)

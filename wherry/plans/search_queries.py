@@ -308,7 +308,7 @@ QUERIES: dict[str, Query] = {
     "bool_or": _boolean(["讲座", "论坛", "forum"], "or"),
     "query_vectors": lambda s, d: Engine(s, d).vectors.select("query_id", "term", F.round("qweight", 9).alias("qweight")),
     "dot_products": lambda s, d: retrieval.dot_products(*(lambda e: (e.vectors, e.postings))(Engine(s, d)), 6),
-    "cosine_scores": lambda s, d: retrieval.cosine(*(lambda e: (e.vectors, e.postings, e.lengths))(Engine(s, d))).select("query_id", "docid", F.round("score", 6).alias("score")),
+    "cosine_scores": lambda s, d: retrieval.cosine(*(lambda e: (e.vectors, e.postings, e.lengths))(Engine(s, d)), 6),
     "search_tfidf": _search,
     "candidates": lambda s, d: Engine(s, d).candidates().select("query_id", "docid", "rank_no"),
     "rerank_terms": lambda s, d: retrieval.rerank_terms(Engine(s, d).vectors).select("query_id", "term", "compact_term"),
